@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import bpe, lookalike, sentences
+from lodestat.llm import bpe, lookalike, packing, sentences
 from lodestat.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,18 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode_corpus(bpe.encode_corpus(table(spark, sf, "documents")))
 
 
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_corpus(table(spark, sf, "documents"), table(spark, sf, "packing_targets"))
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p9_containers(spark, sf), table(spark, sf, "packing_targets"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_forms, p8_ids, p8_round_trip, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_forms, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found)}
 
 SQL: dict[str, str] = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -60,20 +60,19 @@ QUOTE_GOES_ON = (
 ).split()
 _GOES_ON = tuple(sorted(QUOTE_GOES_ON, key=len, reverse=True))
 
-_SPACELESS = r"[぀-ヿ㐀-鿿豈-﫿々〆ｦ-ﾟ]"
-_THAI = r"[฀-๿]"
+_SPACELESS = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u3006\uff66-\uff9f]"
+_THAI = r"[\u0e00-\u0e7f]"
 _NOTES = r"(?:\[\d+(?:[,–-]\s?\d+)*\]|[¹²³⁰-⁹]+)"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "‘": "’"}
 _CLOSE = set(_OPEN.values())
-_QUOTES = set("“„«「『\"‘”»」』’")
 
-_BLANK = regex.compile(r"(?:[^\S\n ]*(?:\n| )){2,}| |\r(?!\n)\s*\r(?!\n)")
+_BLANK = regex.compile(r"(?:[^\S\n\u2029]*(?:\n|\u2029)){2,}|\u2029|\r(?!\n)\s*\r(?!\n)")
 _ITEM = regex.compile(r"[^\S\n]*(?:(\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]|([-–—•*·‣▪◦])|\((\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})\))\s+\S")
 _EVENTS = regex.compile(
     r"[(\[{“”„«»「」『』（）［］【】《》〈〉)\]}\"‘]"
     r"|(?<=\p{Ll}\p{Ll})[.!?](?=\p{Lu}\p{Ll})"
     r"|[.!?…]+(?=[\s\"'”’»“)\]}」』\[¹²³⁰-⁹]|$)|[!?]+(?=" + _SPACELESS + r")"
-    r"|[。！？｡⁇‽؟۔।॥።፧፨։។။༎]+|[;;](?=[\s\"”»)\]]|$)"
+    r"|[。！？｡⁇‽؟۔।॥።፧፨։។။༎]+|[;\u037e](?=[\s\"”»)\]]|$)"
 )
 _NOTE = regex.compile(_NOTES)
 #: Closing marks that stay with the sentence even where nothing was open.
@@ -85,7 +84,7 @@ _LABEL = regex.compile(rf"(?:{'|'.join(LABELS.split())})\.?(?:\s*(?:\d+(?:\.\d+)
 _NEXT = regex.compile(r"\s*([\"'“„«¿¡(\[‘「『]*)\s?(\S?)")
 _DOTTED = regex.compile(r"\p{L}\.")
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_GREEK = regex.compile(r"[Ͱ-Ͽἀ-῿]")
+_GREEK = regex.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
 _HAS_THAI = regex.compile(_THAI)
 _THAI_GAP = regex.compile(rf"(?<={_THAI}[”\"')\]]?)\s+(?=[“\"'(]?{_THAI})")
 _RUN_ON = regex.compile(r"\p{Lu}\p{Ll}")
@@ -289,7 +288,7 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
             continue  # the end of the block
         spaced = text[after].isspace()
         hard = one in _HARD
-        if one in ";;":
+        if one in ";\u037e":
             if not (_GREEK.match(text[max(start, at - 1) : at]) and spaced):
                 continue
         if not spaced and not hard and not (one in "!?" and _SPACELESS_CHAR.match(text, after)) and not _RUN_ON.match(text, stop, end):
