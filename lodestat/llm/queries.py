@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import bpe, lookalike, packing, sentences
+from lodestat.llm import bpe, lookalike, matching, packing, sentences
 from lodestat.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalise(claims, ["source_quote", "legend_quote"]).distinct()
 
 
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_quantities(table(spark, sf, "claims"), table(spark, sf, "reader_claims"), table(spark, sf, "term_mappings"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).select("claim_uid", "reader_uid")
+
+
+def p5_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
@@ -51,6 +63,6 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_forms, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_forms, p5_found, p5_confidence, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found)}
 
 SQL: dict[str, str] = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
