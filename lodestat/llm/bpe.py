@@ -1,6 +1,6 @@
 """Encoding with a public byte-level BPE vocabulary.
 
-Text is split by the vocabulary's pattern and each piece is encoded once.  An Aho-Corasick automaton
+Text is split by the vocabulary's pattern, and what stands between two spaces is encoded once.  An Aho-Corasick automaton
 gives the longest tokens; a table of token pairs says which tokens may stand side by side; where the
 longest do not fit, the encoder backtracks to shorter ones.  A sequence whose neighbours are
 all compatible is the one that the merges give, so the result is exact, in time linear in the
@@ -20,13 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.llm.units import Memo, Ragged, UnitTable, cut_units
+
 #: Where the public vocabularies are.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a worker keeps, and their bytes; beyond either the table starts anew (results do not change).
-CACHE_PIECES, CACHE_BYTES = 400_000, 48_000_000
-
 
 class BytePairEncoder:
     """Exact byte-level BPE from a rank file (a token in base64 and its rank on each line)."""
@@ -43,7 +42,8 @@ class BytePairEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(PATTERN).findall
-        self.pieces = _Pieces(self)
+        self.pieces = Memo(lambda p: np.array(self.encode_bytes(p.encode("utf-8")), dtype=np.int32).tobytes())
+        self.first, self.rest = UnitTable(self._unit, ""), UnitTable(self._unit, " ")
 
     def merge(self, data: bytes) -> list[int]:
         """The merges by their ranks, lowest first: the definition, used for pairs of tokens only."""
@@ -102,9 +102,21 @@ class BytePairEncoder:
                 size = last - 1
         return out
 
+    def _unit(self, unit: str, lead: str) -> bytes:
+        return self._pack(lead + unit)
+
+    def _pack(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
     def encode_packed(self, text: str | None) -> bytes:
         """The ids of a text as packed 32-bit integers; nothing for null and empty texts."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        first, rest = cut_units(text)
+        try:
+            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        except Ragged:
+            return self._pack(text)
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; an empty list for null and empty texts."""
@@ -117,24 +129,6 @@ class BytePairEncoder:
         return np.frombuffer(b"".join(self.tokens), np.uint8), offsets
 
 
-class _Pieces(dict):
-    """Pieces and their packed ids; filled on demand."""
-
-    def __init__(self, encoder: BytePairEncoder):
-        super().__init__()
-        self.encoder, self.bytes = encoder, 0
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        packed = np.array(self.encoder.encode_bytes(data), dtype=np.int32).tobytes()
-        if len(self) >= CACHE_PIECES or self.bytes > CACHE_BYTES:
-            self.clear()
-            self.bytes = 0
-        self[piece] = packed
-        self.bytes += len(data) + len(packed)
-        return packed
-
-
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 

@@ -20,30 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.bpe import TOKENIZERS, encoder
+from lodestat.llm.units import Memo, Ragged, UnitTable, cut_units
 
 #: Texts packed together; every shard leaves at most about one container badly filled.
 ITEMS_PER_SHARD = 50_000
 #: Rows that a table of targets may have; it is read to the driver.
 MAX_TARGETS = 1_000
-#: Pieces whose sizes a worker keeps; beyond it the table starts anew.
-CACHE_PIECES = 400_000
 
 _UPPER_CONTRACTION = regex.compile(r"'\p{Lu}")
-_SPACED = regex.compile(r" +[^ ]*")
-
-
-class _Sizes(dict):
-    """Sizes of pieces, filled on demand."""
-
-    def __init__(self, size):
-        super().__init__()
-        self.size = size
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        n = self[piece] = self.size(piece)
-        return n
+#: Bits of one tokenizer's count in a unit's value.
+_SHIFT = 40
 
 
 class TokenCounter:
@@ -51,46 +37,52 @@ class TokenCounter:
 
     def __init__(self, names: list[str], folder: str = TOKENIZERS):
         self.names = names
-        self.by_piece: dict[str, _Sizes] = {}
-        self.whole: dict[str, object] = {}
-        self.pieces = None
-        for name in names:
+        self.bpe: list[tuple[int, object]] = []
+        self.words: list[tuple[int, object, Memo]] = []
+        self.models: list[tuple[int, object]] = []
+        self.split = encoder(folder=folder).split
+        for i, name in enumerate(names):
             if os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
-                bpe = encoder(name, folder)
-                self.split = bpe.split
-                self.by_piece[name] = _Sizes(lambda p, b=bpe: len(b.encode_bytes(p.encode("utf-8"))))
+                self.bpe.append((i * _SHIFT, encoder(name, folder)))
             elif os.path.exists(os.path.join(folder, f"{name}.json")):
                 from tokenizers import Tokenizer
 
                 words = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
                 words.encode_special_tokens = True
-                self.split = encoder(folder=folder).split
                 count = lambda t, w=words: len(w.encode(t, add_special_tokens=False).ids)
-                self.by_piece[name], self.whole[name] = _Sizes(count), count
+                self.words.append((i * _SHIFT, count, Memo(count)))
             else:
                 import sentencepiece
 
                 model = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, f"{name}.model"))
-                self.pieces = (name, _Sizes(lambda p, m=model: len(m.encode(p, num_threads=1))))
+                self.models.append((i * _SHIFT, model))
+        self.first, self.rest = UnitTable(self._unit, ""), UnitTable(self._unit, " ")
+
+    def _unit(self, unit: str, lead: str) -> int:
+        """The counts of a unit by all tokenizers, in one integer."""
+        text = lead + unit
+        pieces = self.split(text)
+        value = sum(sum(map(len, map(b.pieces.__getitem__, pieces))) // 4 << at for at, b in self.bpe)
+        for at, whole, memo in self.words:
+            composed = text if text.isascii() else unicodedata.normalize("NFC", text)
+            if _UPPER_CONTRACTION.search(composed) or "İ" in composed:
+                value += whole(text) << at  # lower case splits these differently
+            else:
+                value += sum(map(memo.__getitem__, pieces if composed == text else self.split(composed))) << at
+        for at, model in self.models:
+            value += len(model.encode(unit, num_threads=1)) << at  # the model puts a space before
+        return value
 
     def count(self, text: str | None) -> list[int]:
         """The number of tokens by each tokenizer, in the order of names; 0 for null and empty texts."""
         if not text:
             return [0] * len(self.names)
-        out = {}
-        if self.by_piece:
-            pieces = self.split(text)
-            # a lower-casing tokenizer splits these texts differently: they are encoded whole
-            odd = self.whole and not (text.isascii() or (unicodedata.is_normalized("NFC", text) and "İ" not in text)) or _UPPER_CONTRACTION.search(text)
-            for name, sizes in self.by_piece.items():
-                out[name] = self.whole[name](text) if odd and name in self.whole else sum(map(sizes.__getitem__, pieces))
-        if self.pieces:
-            name, sizes = self.pieces
-            units = text.split(" ")
-            if "" in units:  # runs of spaces belong to the word after them
-                units = [u[1:] for u in _SPACED.findall(" " + text)]
-            out[name] = sum(map(sizes.__getitem__, units))
-        return [out[n] for n in self.names]
+        first, rest = cut_units(text)
+        try:
+            value = self.first[first] + sum(map(self.rest.__getitem__, rest))
+        except Ragged:
+            value = self._unit(text, "")
+        return [(value >> (i * _SHIFT)) & ((1 << _SHIFT) - 1) for i in range(len(self.names))]
 
 
 _COUNTERS: dict[tuple, TokenCounter] = {}
