@@ -316,16 +316,19 @@ def _permutation_p(r: Recipe, a: Association, s: dict[str, np.ndarray], effect:
     fitted = (y if r.permute == "outcome" else x) - moved
     rng = np.random.default_rng(r.seed)
     want = abs(t) if r.permutation_statistic == "t" else abs(effect)
+    centred = fixed - fixed.mean()
+    scale = math.sqrt(float(centred @ centred))
     k = 0
-    for _ in range(r.null_draws):
-        new = rng.permutation(moved)
+    for size in _blocks(r.null_draws, len(moved)):
+        new = np.array([rng.permutation(moved) for _ in range(size)])  # one permutation a draw, whatever the block
         if r.test == "freedman_lane":
-            new = new + fitted
+            new += fitted
             if r.permute == "predictor" or r.estimator == "partial" or r.permutation_statistic == "t":
-                new = new - q @ (q.T @ new)
-        c = _corr(new, fixed)
-        value = abs(c) * math.sqrt(df / max(1 - c * c, 1e-300)) if r.permutation_statistic == "t" else abs(c)
-        k += value >= want - 1e-12
+                new -= (new @ q) @ q.T
+        new -= new.mean(1, keepdims=True)
+        c = new @ centred / (np.sqrt((new * new).sum(1)) * scale)
+        value = np.abs(c) * np.sqrt(df / np.maximum(1 - c * c, 1e-300)) if r.permutation_statistic == "t" else np.abs(c)
+        k += int((value >= want - 1e-12).sum())
     return (k + 1) / (r.null_draws + 1)
 
 
