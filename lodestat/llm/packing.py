@@ -70,7 +70,8 @@ class TokenCounter:
             else:
                 value += sum(map(memo.__getitem__, pieces if composed == text else self.split(composed))) << at
         for at, model in self.models:
-            value += len(model.encode(unit, num_threads=1)) << at  # the model puts a space before
+            # the model puts a space before, but not before nothing
+            value += (len(model.encode(unit, num_threads=1)) if unit else len(lead)) << at
         return value
 
     def count(self, text: str | None) -> list[int]:

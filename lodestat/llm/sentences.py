@@ -272,6 +272,8 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
             ch = text[after]
             if depth and (ch == depth[-1][0] or (depth[-1][0] == "“" and ch == "”")):
                 opened = depth.pop()[1]
+            elif ch.isspace() and depth and depth[-1][0] == "»" and text[after + 1 : after + 2] == "»":
+                pass  # French sets a space before the closing mark
             elif ch in "[¹²³⁰⁴⁵⁶⁷⁸⁹":
                 note = _NOTE.match(text, after, end)
                 if note is None:
