@@ -70,7 +70,7 @@ _BLANK = regex.compile(r"(?:[^\S\n\u2029]*(?:\n|\u2029)){2,}|\u2029|\r(?!\n)\s*\
 _ITEM = regex.compile(r"[^\S\n]*(?:(\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]|([-–—•*·‣▪◦])|\((\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})\))\s+\S")
 _EVENTS = regex.compile(
     r"[(\[{“”„«»「」『』（）［］【】《》〈〉)\]}\"‘]"
-    r"|(?<=\p{Ll}\p{Ll})[.!?](?=\p{Lu}\p{Ll})"
+    r"|(?<=\p{Ll}\p{Ll}|\.\p{Ll})[.!?](?=\p{Lu}\p{Ll})"
     r"|[.!?…]+(?=[\s\"'”’»“)\]}」』\[¹²³⁰-⁹]|$)|[!?]+(?=" + _SPACELESS + r")"
     r"|[。！？｡⁇‽؟۔।॥።፧፨։។။༎]+|[;\u037e](?=[\s\"”»)\]]|$)"
 )
@@ -186,26 +186,38 @@ def block_bounds(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def _ordinal(marker: str) -> int:
+    """The place of a marker in its numbering: 3, c and iii are third; a bullet has none."""
+    if marker.isdigit():
+        return int(marker)
+    low = marker.lower()
+    if len(low) > 1 or low in "iv":
+        romans = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
+        return romans.index(low) + 1 if low in romans else 0
+    return ord(low) - ord("a") + 1
+
+
 def _items(text: str, start: int, end: int) -> list[tuple[int, int]] | None:
-    """The items of a block that is a list: its first line starts with a marker, and each line that
-    starts with a marker of that style opens a new one.  None for running text."""
+    """The items of a block that is a list: its first line starts with a marker, and each line that starts
+    with the next marker of that style opens a new one.  None for running text."""
     first = _ITEM.match(text, start, end)
     if first is None:
         return None
     style = first.lastindex
-    if style == 1 and regex.match(r"\s*\d", text[start:end]) and not text[start:end].lstrip()[:4].rstrip().rstrip(".)").isdigit() and first.group(1).isdigit() is False:
-        return None
     marker = first.group(style)
-    bullet = marker if style == 2 else None
+    place = 0 if style == 2 else _ordinal(marker)
+    if style != 2 and not marker.isdigit() and place != 1:
+        return None  # an initial, as in "J. Smith found"
     starts, at = [start], text.find("\n", start, end)
     while at >= 0:
         m = _ITEM.match(text, at + 1, end)
-        if m is not None and m.lastindex == style and (bullet is None or m.group(2) == bullet):
-            starts.append(at + 1)
+        if m is not None and m.lastindex == style:
+            same = m.group(2) == marker if style == 2 else _ordinal(m.group(style)) == place + 1 or (place == 8 and m.group(style).lower() == "i")
+            if same:
+                starts.append(at + 1)
+                place += 1
         at = text.find("\n", at + 1, end)
-    if len(starts) == 1 and style == 1 and not marker.isdigit():
-        return None  # a single initial, as in "A. Smith found"
-    if len(starts) == 1 and bullet in ("–", "—", "*", "·"):
+    if len(starts) == 1 and (style == 1 and not marker.isdigit() or style == 2 and marker in "–—*·"):
         return None
     return list(zip(starts, [*starts[1:], end]))
 
