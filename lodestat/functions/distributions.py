@@ -164,3 +164,12 @@ def noncentral_t_power(effect: float, df: float, alpha: float = 0.05) -> float:
     upper = erfc((crit * grid - effect) / math.sqrt(2)) / 2
     lower = erfc((crit * grid + effect) / math.sqrt(2)) / 2
     return float(np.trapezoid(np.exp(log) * (upper + lower), grid))
+
+
+def minimum_effect(df: float, n_scale: float, power: float = 0.8, alpha: float = 0.05) -> float:
+    """The smallest standardised effect found with the given power: its noncentrality is effect times ``n_scale``."""
+    lo, hi = 0.0, 20.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if noncentral_t_power(mid * n_scale, df, alpha) < power else (lo, mid)
+    return (lo + hi) / 2

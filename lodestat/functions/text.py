@@ -224,3 +224,82 @@ def output_density(c: Column) -> Column:
 def magnitude(x: float) -> int:
     """The power of ten of a number."""
     return math.floor(math.log10(abs(x))) if x else 0
+
+
+def supports(text: str, value: float, decimals: int, marker: str | None = None) -> bool:
+    """Whether a text prints a value: sign, decimals and, if given, the statistic before it must agree."""
+    for m in re.finditer(NUMBER, text):
+        token = m.group().replace("−", "-").replace(",", "")
+        shown = len(token.split(".")[1]) if "." in token else 0
+        if shown != decimals or abs(float(token) - value) > 1e-9:
+            continue
+        if marker is None or re.search(rf"(?<!\w){re.escape(marker)}\s*(?:\([^)]*\))?\s*[=<>≤≥]\s*$", text[: m.start()]):
+            return True
+    return False
+
+
+def unique_clause(text: str, quote: str, least: int = 8) -> tuple[int, int] | None:
+    """Where a quote stands once in a text, else its longest clause with a number that does."""
+    clauses = sorted((c.strip() for c in re.split(r"[;,](?=\s)", quote)), key=lambda c: -len(c))
+    for part in (quote, *[c for c in clauses if re.search(r"\d", c)]):
+        if len(part) >= least and text.count(part) == 1:
+            at = text.index(part)
+            return at, at + len(part)
+    return None
+
+
+def sentence_span(text: str, at: int) -> tuple[int, int]:
+    """The sentence around an offset, by plain stops; operators of the text subpackage cut whole corpora."""
+    start = max((m.end() for m in re.finditer(r"[.!?]\s+|\n\s*\n", text[:at])), default=0)
+    m = re.search(r"[.!?](?=\s|$)|\n\s*\n", text[at:])
+    return start, at + m.end() if m else len(text)
+
+
+def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """Spans replaced from the right; overlapping spans are an error."""
+    last = len(text) + 1
+    for a, b, new in sorted(spans, reverse=True):
+        if b > last:
+            raise ValueError("spans overlap")
+        text, last = text[:a] + new + text[b:], a
+    return text
+
+
+def unified_diff(a: str, b: str, cap: int = 200) -> str:
+    """The unified diff of two scripts, cut after ``cap`` lines."""
+    from difflib import unified_diff as diff
+
+    lines = list(diff(a.splitlines(), b.splitlines(), lineterm="", n=2))
+    return "\n".join(lines[:cap])
+
+
+def first_json(text: str) -> str | None:
+    """The first balanced JSON object in a text, without fences."""
+    import json
+
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(text, at)[0])
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def scrub(text: str, values: list[str], mark: str = "[withheld]") -> str:
+    """A text without the printed values, longest first, where no word or number goes on."""
+    for v in sorted(set(values), key=lambda x: -len(x)):
+        text = re.sub(rf"(?<![\w.]){re.escape(v)}(?![\w]|\.\d)", mark, text)
+    return text
+
+
+# Words of designs, by design.
+DESIGNS = {"paired": r"\b(?:paired|within|repeated|pre.?post)\b", "correlation": r"\b(?:correlat|association|regress)", "two_group": r"\b(?:between|two.?group|independent|random(?:ly|ized|ised) assigned|versus|vs\.?)\b"}
+
+
+def design_of(c: Column) -> Column:
+    """The design that a method text names, the first of paired, correlation and two_group; else null."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(DESIGNS.items()):
+        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
+    return out

@@ -213,3 +213,24 @@ def run_direct(df, plan: DirectPlan, by: list[str] | None = None):
     if plan.family == "likelihood_ratio":
         return t.likelihood_ratio(df, c[0], c[1], plan.df_per_row, by)
     return t.ols(df, c[0], list(c[1:]), by)
+
+
+def describe(recipe: Recipe) -> str:
+    """A recipe in words."""
+    parts = [f"{recipe.estimator.replace('_', ' ')} of {recipe.x} and {recipe.y} ({recipe.design})"]
+    if recipe.covariates:
+        parts.append(f"given {', '.join(recipe.covariates)}")
+    if recipe.polynomial:
+        parts.append(f"with {'a spline' if recipe.spline_probs else f'a term of degree {recipe.degree}'} of {recipe.polynomial}")
+    if recipe.rank:
+        parts.append("on ranks")
+    if recipe.transform != "none":
+        parts.append(f"after a {recipe.transform} transform")
+    if recipe.outliers != "none":
+        parts.append(f"without outliers by {recipe.outliers.replace('_', ' ')}")
+    parts.append(f"tested by {recipe.test.replace('_', ' ')}")
+    if recipe.interval != "none":
+        parts.append(f"with a {recipe.interval.replace('_', ' ')} interval")
+    if recipe.adjustment != "none":
+        parts.append(f"adjusted by {recipe.adjustment.replace('_', ' ')}")
+    return "; ".join(parts)

@@ -227,3 +227,14 @@ def layout_words(spark: SparkSession, path: str) -> DataFrame:
     lines = pages.select(F.col("_number").alias("page"), F.posexplode("line").alias("line", "l"))
     words = lines.select("page", "line", F.col("l._y").alias("y"), F.posexplode("l.word").alias("word_index", "w"))
     return words.select("page", "line", "word_index", F.col("w._x0").alias("x0"), F.col("w._x1").alias("x1"), "y", F.col("w._VALUE").alias("word"))
+
+
+def read_codebook(spark: SparkSession, path: str) -> str:
+    """A codebook as one text: text, Markdown, CSV and JSON as they are, every sheet of a workbook as JSON; else an error."""
+    suffix = os.path.splitext(path)[1].lower()
+    if suffix in (".txt", ".md", ".csv", ".tsv", ".json"):
+        return spark.read.text(path, wholetext=True).first()[0]
+    if suffix in (".xlsx", ".xls"):
+        book = _optional("openpyxl").load_workbook(path, read_only=True, data_only=True)
+        return json.dumps({s.title: [[None if v is None else str(v) for v in r] for r in s.iter_rows(values_only=True)] for s in book.worksheets})
+    raise ValueError(f"no codebook: {suffix}")
