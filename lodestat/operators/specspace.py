@@ -71,6 +71,7 @@ def curve_rank(results: DataFrame, by: list[str], estimate: str, reported: Colum
     """Where the reported value lies among the estimates, at printed precision.
 
     by, n, below, above, tied, rank, rank_high, extremeness (null if all are tied), same_sign and, with p, significant.
+    The median holds a group's distinct estimates: a curve has at most MAX_GRID.
     """
     shown, target = round_half_up(F.col(estimate), precision), round_half_up(reported, precision)
     rows = results.where(F.col(estimate).isNotNull())
@@ -90,7 +91,10 @@ def curve_rank(results: DataFrame, by: list[str], estimate: str, reported: Colum
 
 
 def sensitivity(results: DataFrame, by: list[str], estimate: str, p: str, null: float = 0.0, alpha: float = 0.05) -> DataFrame:
-    """by, n, min, max, median, n_positive, n_negative, p_min, p_max, n_significant of converged estimates."""
+    """by, n, min, max, median, n_positive, n_negative, p_min, p_max, n_significant of converged estimates.
+
+    The median holds a group's distinct estimates: a group is one curve of at most MAX_GRID specifications.
+    """
     e = F.col(estimate)
     return results.where(e.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"), F.min(e).alias("min_estimate"), F.max(e).alias("max_estimate"), F.median(e).alias("median_estimate"),
