@@ -59,10 +59,10 @@ def renumbered(spark: SparkSession, sf: str) -> DataFrame:
     return records.renumber(c, ["paper_id"], ["page", "claim_uid"]).select("paper_id", "claim_uid", "number")
 
 
-@query("SELECT DISTINCT claim_uid, paper_id, location.page AS page, location.kind AS kind, location.label AS label FROM claims")
+@query("SELECT DISTINCT claim_uid, paper_id, coalesce(location.page, -1) AS page, location.kind AS kind, location.label AS label FROM claims")
 def blinded(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "claims").select("claim_uid", "paper_id", "location", "value", "source_quote")
-    return records.blinded(c, ["value", "source_quote"], {"location": ["cell"]}).select("claim_uid", "paper_id", "location.*").distinct()
+    return records.blinded(c, ["value", "source_quote"], {"location": ["cell"]}).select("claim_uid", "paper_id", "location.*").withColumn("page", F.coalesce("page", F.lit(-1))).distinct()
 
 
 @query("""SELECT n_nationkey, n_name, coalesce(len(l), 0) AS n_suppliers, coalesce(list_transform(list_sort(l), lambda x: x)::BIGINT[], []) AS suppliers
@@ -143,7 +143,7 @@ def disagreement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT a.claim_uid, a.study_id AS s1, b.study_id AS s2, a.importance AS i1, b.importance AS i2, a.state AS t1, b.state AS t2 FROM (SELECT DISTINCT claim_uid, paper_id, claim_id, study_id, importance, state FROM claims) a
 JOIN (SELECT DISTINCT claim_uid, study_id, importance, state FROM claims) b ON b.claim_uid = a.claim_uid + 1)
-SELECT 'study_id' AS field, count_if(s1 IS DISTINCT FROM s2) AS n_disputed FROM p UNION ALL SELECT 'importance', count_if(i1 IS DISTINCT FROM i2) FROM p UNION ALL SELECT 'state', count_if(t1 IS DISTINCT FROM t2) FROM p""")
+SELECT 'study_id' AS field, count_if(s1 IS DISTINCT FROM s2)::BIGINT AS n_disputed FROM p UNION ALL SELECT 'importance', count_if(i1 IS DISTINCT FROM i2)::BIGINT FROM p UNION ALL SELECT 'state', count_if(t1 IS DISTINCT FROM t2)::BIGINT FROM p""")
 def disputed_fields(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "claims").select("claim_uid", "paper_id", "claim_id", "study_id", "importance", "state").distinct()
     b = table(spark, sf, "claims").select((F.col("claim_uid") - 1).alias("claim_uid"), F.struct("study_id", "importance", "state").alias("b")).distinct()
@@ -175,7 +175,7 @@ def eligible_ids(spark: SparkSession, sf: str) -> DataFrame:
     return records.eligible_ids(t, "record_id", "claim_ids", table(spark, sf, "claims"), "claim_id", "paper_id").select("record_id", "claim_ids")
 
 
-@query("SELECT paper_id, region_id, y_min, y_max FROM (SELECT paper_id, kind AS region_id, min(page) - 2.0 AS y_min, max(page) + 2.0 AS y_max FROM region_coverage GROUP BY 1, 2)")
+@query("SELECT paper_id, region_id, y_min, y_max FROM (SELECT paper_id, kind AS region_id, min(page)::DOUBLE - 2 AS y_min, max(page)::DOUBLE + 2 AS y_max FROM region_coverage GROUP BY 1, 2)")
 def value_band(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "region_coverage").select("paper_id", F.col("kind").alias("region_id"), F.col("page").cast("double").alias("y"))
     return records.value_band(r, ["paper_id", "region_id"], "y", 2.0)
@@ -218,7 +218,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
 
 
-@query("""SELECT doc_id, i AS page, p AS page_text FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(12))) + 1)) AS i, unnest(string_split(text, chr(12))) AS p FROM documents WHERE text IS NOT NULL)""")
+@query("""SELECT doc_id, i::INTEGER AS page, p AS page_text FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(12))) + 1)) AS i, unnest(string_split(text, chr(12))) AS p FROM documents WHERE text IS NOT NULL)""")
 def paged_text(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.pages(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
 

@@ -81,7 +81,7 @@ def readout_min_max(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(parts[0].unionByName(parts[1]))
 
 
-@query("SELECT l_returnflag, round(count_if(l_quantity >= 25) * 100.0 / count(*), 6) AS value, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(count_if(l_quantity >= 25)::BIGINT * 100.0 / count(*), 6) AS value, count(*) AS n FROM lineitem GROUP BY 1")
 def readout_threshold_pct(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readouts.readout(table(spark, sf, "lineitem"), "count_threshold", ["l_quantity"], by=["l_returnflag"], rule=">=25", multiplier=100))
 
@@ -179,7 +179,7 @@ def outlier_residual(spark: SparkSession, sf: str) -> DataFrame:
     return sample.outliers_residual(table(spark, sf, "orders").withColumn("day", F.dayofyear("o_orderdate")), "o_totalprice", "o_custkey", ["day"], 0.02, "o_orderkey").select("o_orderkey")
 
 
-@query("SELECT o_orderkey, round((o_custkey % 5) + (o_custkey % 3) + (o_orderkey % 4), 6) AS total FROM orders")
+@query("SELECT o_orderkey, round(((o_custkey % 5) + (o_custkey % 3) + (o_orderkey % 4))::DOUBLE, 6) AS total FROM orders")
 def rescoring(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("i1"), (F.col("o_custkey") % 3).alias("i2"), (F.col("o_orderkey") % 4).alias("i3"))
     t = t.withColumn("total", (F.col("i1") + F.col("i2") + F.col("i3")).cast("double"))
@@ -401,7 +401,7 @@ def leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT s_nationkey, sum(s_acctbal) AS s, count(*) AS n FROM supplier GROUP BY 1),
 c AS (SELECT s_nationkey, s_suppkey, s / n AS b, (s - s_acctbal) / nullif(n - 1, 0) AS w FROM supplier JOIN g USING (s_nationkey))
-SELECT s_nationkey, count(*) AS n, round(max(abs(w - b)), 4) AS max_change, coalesce(count_if(sign(w) <> sign(b)), 0) AS n_sign_flips FROM c GROUP BY 1""")
+SELECT s_nationkey, count(*) AS n, round(max(abs(w - b)), 4) AS max_change, coalesce(count_if(sign(w) <> sign(b))::BIGINT, 0) AS n_sign_flips FROM c GROUP BY 1""")
 def loo_influence(spark: SparkSession, sf: str) -> DataFrame:
     c = resample.leave_one_out_means(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"])
     return rounded(specspace.influence_summary(c, ["s_nationkey"], "s_suppkey").drop("most_influential"), 4)
@@ -415,13 +415,13 @@ def integrity_unique(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.key_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""SELECT condition, count_if(baseline IS NOT NULL AND outcome IS NOT NULL) AS n_complete, count_if((baseline IS NULL) <> (outcome IS NULL)) AS n_half,
-count_if(baseline IS NULL AND outcome IS NULL) AS n_missing, 0 AS n_infinite FROM fixture_study GROUP BY 1""")
+@query("""SELECT condition, count_if(baseline IS NOT NULL AND outcome IS NOT NULL)::BIGINT AS n_complete, count_if((baseline IS NULL) <> (outcome IS NULL))::BIGINT AS n_half,
+count_if(baseline IS NULL AND outcome IS NULL)::BIGINT AS n_missing, 0::BIGINT AS n_infinite FROM fixture_study GROUP BY 1""")
 def integrity_pair(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.pair_check(table(spark, sf, "fixture_study"), "baseline", "outcome", ["condition"])
 
 
-@query("""SELECT member, count_if(k) AS n_known, count_if(NOT k) AS n_missing FROM (SELECT 'age' AS member, age IS NOT NULL AS k FROM study1 UNION ALL SELECT 'closeness', closeness IS NOT NULL FROM study1
+@query("""SELECT member, count_if(k)::BIGINT AS n_known, count_if(NOT k)::BIGINT AS n_missing FROM (SELECT 'age' AS member, age IS NOT NULL AS k FROM study1 UNION ALL SELECT 'closeness', closeness IS NOT NULL FROM study1
 UNION ALL SELECT 'condition', nullif(trim(condition), '') IS NOT NULL FROM study1) GROUP BY 1""")
 def integrity_completeness(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.completeness(table(spark, sf, "study1"), ["age", "closeness", "condition"])
@@ -490,7 +490,7 @@ def grid_specs(spark: SparkSession, sf: str) -> DataFrame:
     return specspace.spec_grid(spark, _FACTORS, [("trim=0.2", "test=wilcoxon"), ("test=sign_flip", "outliers=iqr")])
 
 
-@query("SELECT 36 AS n_all, 26 AS n_compatible")
+@query("SELECT 36::BIGINT AS n_all, 26::BIGINT AS n_compatible")
 def grid_count(spark: SparkSession, sf: str) -> DataFrame:
     n = specspace.spec_grid(spark, _FACTORS, [("trim=0.2", "test=wilcoxon"), ("test=sign_flip", "outliers=iqr")])
     return n.agg(F.count("*").alias("n_compatible")).select(F.lit(36).cast("bigint").alias("n_all"), "n_compatible")
@@ -510,16 +510,16 @@ def _specs(spark: SparkSession, sf: str) -> DataFrame:
 _SPECS = "(SELECT l_returnflag, l_linestatus, month(l_shipdate)::INT AS month, avg(l_discount - l_tax) AS estimate, avg(l_tax) AS p FROM lineitem GROUP BY 1, 2, 3)"
 
 
-@query(f"""SELECT l_returnflag, count(*) AS n, count_if(round(estimate, 3) < 0.010) AS below, count_if(round(estimate, 3) > 0.010) AS above, count_if(round(estimate, 3) = 0.010) AS tied,
-count_if(round(estimate, 3) < 0.010) + 1 AS rank, count(*) - count_if(round(estimate, 3) > 0.010) AS rank_high,
+@query(f"""SELECT l_returnflag, count(*) AS n, count_if(round(estimate, 3) < 0.010)::BIGINT AS below, count_if(round(estimate, 3) > 0.010)::BIGINT AS above, count_if(round(estimate, 3) = 0.010)::BIGINT AS tied,
+count_if(round(estimate, 3) < 0.010)::BIGINT + 1 AS rank, count(*) - count_if(round(estimate, 3) > 0.010)::BIGINT AS rank_high,
 round(avg((sign(estimate) = 1)::INT), 6) AS same_sign, round(median(estimate), 8) AS median_estimate, round(avg((p < 0.04)::INT), 6) AS significant FROM {_SPECS} GROUP BY 1""")
 def spec_rank(spark: SparkSession, sf: str) -> DataFrame:
     c = specspace.curve_rank(_specs(spark, sf), ["l_returnflag"], "estimate", F.lit(0.010), 3, "p", 0.04).drop("extremeness")
     return c.withColumns({"same_sign": F.round("same_sign", 6), "median_estimate": F.round("median_estimate", 8), "significant": F.round("significant", 6)})
 
 
-@query(f"""SELECT l_returnflag, count(*) AS n, round(min(estimate), 8) AS min_estimate, round(max(estimate), 8) AS max_estimate, round(median(estimate), 8) AS median_estimate, count_if(estimate > 0.01) AS n_positive,
-count_if(estimate < 0.01) AS n_negative, round(min(p), 8) AS p_min, round(max(p), 8) AS p_max, count_if(p < 0.04) AS n_significant FROM {_SPECS} GROUP BY 1""")
+@query(f"""SELECT l_returnflag, count(*) AS n, round(min(estimate), 8) AS min_estimate, round(max(estimate), 8) AS max_estimate, round(median(estimate), 8) AS median_estimate, count_if(estimate > 0.01)::BIGINT AS n_positive,
+count_if(estimate < 0.01)::BIGINT AS n_negative, round(min(p), 8) AS p_min, round(max(p), 8) AS p_max, count_if(p < 0.04)::BIGINT AS n_significant FROM {_SPECS} GROUP BY 1""")
 def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(specspace.sensitivity(_specs(spark, sf), ["l_returnflag"], "estimate", "p", 0.01, 0.04), 8)
 
@@ -613,8 +613,8 @@ def partition_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _BANDS = """(SELECT event_type, user_id, CASE WHEN value < 20 THEN 'A' WHEN value < 50 THEN 'B' WHEN value < 90 THEN 'fail' END AS band FROM events)"""
 
 
-@query(f"""SELECT event_type, count(*) AS n, count(band) AS n_graded, round(count(band) / count(*), 6) AS coverage, round(count_if(band = 'A') / nullif(count(band), 0), 6) AS share_a,
-round(count_if(band IN ('A', 'B')) / nullif(count(band), 0), 6) AS share_ab, round(count_if(band IN ('A', 'B')) / count(*), 6) AS end_to_end_ab FROM {_BANDS} GROUP BY 1""")
+@query(f"""SELECT event_type, count(*) AS n, count(band) AS n_graded, round(count(band) / count(*), 6) AS coverage, round(count_if(band = 'A')::BIGINT / nullif(count(band), 0), 6) AS share_a,
+round(count_if(band IN ('A', 'B'))::BIGINT / nullif(count(band), 0), 6) AS share_ab, round(count_if(band IN ('A', 'B'))::BIGINT / count(*), 6) AS end_to_end_ab FROM {_BANDS} GROUP BY 1""")
 def band_statistics(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("band", F.when(F.col("value") < 20, "A").when(F.col("value") < 50, "B").when(F.col("value") < 90, "fail"))
     return rounded(reconcile.band_statistics(e, ["event_type"]))
@@ -632,12 +632,12 @@ def macro_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT user_id, max(n) AS top, sum(n) AS t FROM c GROUP BY 1)
-SELECT c.user_id, t::BIGINT AS n_known, 0 AS n_unknown, min(event_type) AS modal_value, round(top / t, 6) AS agreement FROM c JOIN m ON m.user_id = c.user_id AND c.n = m.top GROUP BY c.user_id, t, top""")
+SELECT c.user_id, t::BIGINT AS n_known, 0::BIGINT AS n_unknown, min(event_type) AS modal_value, round(top / t, 6) AS agreement FROM c JOIN m ON m.user_id = c.user_id AND c.n = m.top GROUP BY c.user_id, t, top""")
 def trace_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reconcile.trace_agreement(table(spark, sf, "events"), ["user_id"], "event_type"))
 
 
-@query(f"""SELECT event_type, count(*) AS n_ran, 0 AS n_abstained, round(count_if(value < 20) / nullif(count_if(value < 90), 0), 6) AS share_a, round(count_if(value < 50) / nullif(count_if(value < 90), 0), 6) AS share_ab,
+@query(f"""SELECT event_type, count(*) AS n_ran, 0::BIGINT AS n_abstained, round(count_if(value < 20)::BIGINT / nullif(count_if(value < 90)::BIGINT, 0), 6) AS share_a, round(count_if(value < 50)::BIGINT / nullif(count_if(value < 90)::BIGINT, 0), 6) AS share_ab,
 round(stddev_samp(value) / abs(avg(value)), 6) AS cv FROM events GROUP BY 1""")
 def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("band", F.when(F.col("value") < 20, "A").when(F.col("value") < 50, "B").when(F.col("value") < 90, "fail"))
@@ -646,7 +646,7 @@ def match_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT k AS claim_key, CASE WHEN i THEN 'inferential' WHEN d THEN 'descriptive' WHEN n > 0 AND n = bad THEN 'data_invalid' WHEN n > 0 AND n = nodata THEN 'no_data' ELSE 'unresolved' END AS status FROM (
 SELECT paper_id || '|' || claim_id AS k, bool_or(quantity_role = 'inferential' AND source_validation = 'text_anchored') AS i, bool_or(quantity_role = 'descriptive' AND source_validation = 'text_anchored') AS d,
-count(state) AS n, count_if(state = 'data_invalid') AS bad, count_if(state = 'no_data') AS nodata FROM claims GROUP BY 1)""")
+count(state) AS n, count_if(state = 'data_invalid')::BIGINT AS bad, count_if(state = 'no_data')::BIGINT AS nodata FROM claims GROUP BY 1)""")
 def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "claims").withColumn("claim_key", F.concat_ws("|", "paper_id", "claim_id"))
     good = c.where("source_validation = 'text_anchored'")
@@ -664,7 +664,7 @@ def divergence_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT DISTINCT paper_id, claim_id, quantity_kind FROM claims), o AS (SELECT DISTINCT paper_id, claim_id FROM unassigned_claims WHERE claim_id IS NOT NULL),
 j AS (SELECT coalesce(quantity_kind, '(none)') AS quantity_kind, g.claim_id IS NOT NULL AS a, o.claim_id IS NOT NULL AS b FROM g FULL JOIN o ON g.paper_id = o.paper_id AND g.claim_id = o.claim_id)
-SELECT quantity_kind, count_if(a) AS n_gold, count_if(b) AS n_observed, count_if(a AND b) AS n_hit, round(count_if(a AND b) / nullif(count_if(b), 0), 6) AS precision, round(count_if(a AND b) / nullif(count_if(a), 0), 6) AS recall
+SELECT quantity_kind, count_if(a)::BIGINT AS n_gold, count_if(b)::BIGINT AS n_observed, count_if(a AND b)::BIGINT AS n_hit, round(count_if(a AND b)::BIGINT / nullif(count_if(b)::BIGINT, 0), 6) AS precision, round(count_if(a AND b)::BIGINT / nullif(count_if(a)::BIGINT, 0), 6) AS recall
 FROM j GROUP BY ROLLUP (quantity_kind)""")
 def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "unassigned_claims").where("claim_id is not null")
