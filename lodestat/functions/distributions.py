@@ -7,6 +7,7 @@ Quantiles of t, beta and chi-squared are found on the driver for scalars, or vec
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, SparkSession
@@ -77,40 +78,38 @@ def quantile(spark: SparkSession, kind: str, p: float, *args: float) -> float:
     return float(cls(*[float(a) for a in args]).inverseCumulativeProbability(float(p)))
 
 
-# The same functions over NumPy arrays, for use inside of grouped functions.
+# The same functions for scalars, for use inside of grouped functions.
 
 
-def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+def beta_inc(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by Lentz's continued fraction."""
-    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
     flip = x > (a + 1) / (a + b + 2)
-    p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    if flip:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     tiny = 1e-300
-    c = np.ones_like(y)
-    d = 1 - (p + q) * y / (p + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 400):
-        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 10_000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            d = 1 / (d if abs(d) > tiny else tiny)
             c = 1 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            step = d * c
-            h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
             break
-    value = np.where(y <= 0, 0.0, np.where(y >= 1, 1.0, front * h))
-    return np.where(flip, 1 - value, value)
+    return 1 - front * h if flip else front * h
 
 
 def t_two_sided_np(t: float, df: float) -> float:
-    return float(beta_inc(df / 2, 0.5, df / (df + t * t)))
+    return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+@lru_cache(maxsize=10_000)
 def t_ppf(p: float, df: float) -> float:
     """The quantile of t, by bisection."""
     if p < 0.5:
@@ -118,8 +117,10 @@ def t_ppf(p: float, df: float) -> float:
     lo, hi = 0.0, 1.0
     while t_two_sided_np(hi, df) / 2 > 1 - p:
         hi *= 2
-    for _ in range(200):
+    while hi - lo > 1e-15 * hi:
         mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
         lo, hi = (mid, hi) if t_two_sided_np(mid, df) / 2 > 1 - p else (lo, mid)
     return (lo + hi) / 2
 
@@ -129,7 +130,7 @@ def beta_ppf(p: float, a: float, b: float) -> float:
     lo, hi = 0.0, 1.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if float(beta_inc(a, b, mid)) < p else (lo, mid)
+        lo, hi = (mid, hi) if beta_inc(a, b, mid) < p else (lo, mid)
     return (lo + hi) / 2
 
 

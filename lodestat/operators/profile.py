@@ -225,6 +225,37 @@ def load_breaks(
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def coverage_changes(df: DataFrame, *, study: str, load: str, at: str, columns: list[str]) -> DataFrame:
+    """How the coverage of the columns' expressions changes from the first load of a study: column_name, ``load``, form_expression, change.
+
+    Expressions are induced over all distinct values of a column.  The coverage of one is its share of a load's known rows;
+    ``change`` is the largest absolute difference to the first load (smallest ``at``, then smallest ``load``), and
+    form_expression the expression that has it (ties: the first in order).  Nulls and NaN are not known rows; loads without
+    any known value, and columns of which the first load has none, are left out, as are null studies and loads.
+    """
+    df = df.where(F.col(study).isNotNull() & F.col(load).isNotNull())
+    counts = cut(value_counts(df, [study, load], columns).where(F.col("value").isNotNull()))
+    distinct = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    induced = induce_expressions(distinct, ["column_name"], "value", "n").groupBy("column_name", "form").agg(F.min("expression").alias("form_expression"))
+    forms = counts.groupBy(study, load, "column_name", _runs(_classes(F.col("value"))).alias("form")).agg(F.sum("n").alias("n"))
+    totals = forms.groupBy(study, load, "column_name").agg(F.sum("n").alias("all_n"))
+    shares = cut(forms.join(totals, [study, load, "column_name"]).select(study, load, "column_name", "form", (F.col("n") / F.col("all_n")).alias("share")))
+    when = F.coalesce(F.min(at), F.lit("9999-12-31").cast(df.schema[at].dataType))
+    first = df.groupBy(study, load).agg(when.alias("__at")).groupBy(study).agg(F.min_by(load, F.struct("__at", load)).alias("__first"))
+    marked = shares.join(first, study)
+    base = marked.where(F.col(load) == F.col("__first")).select(study, "column_name", "form", (-F.col("share")).alias("share"))
+    later = marked.where(F.col(load) != F.col("__first"))
+    # the first load's forms against each later load of the study: as many rows as loads times forms
+    expected = later.select(study, load, "column_name").distinct().join(base, [study, "column_name"])
+    both = later.select(study, load, "column_name", "form", "share").join(base.select(study, "column_name").distinct(), [study, "column_name"], "left_semi")
+    off = both.unionByName(expected).groupBy(load, "column_name", "form").agg(F.abs(F.sum("share")).alias("change"))
+    named = off.join(induced, ["column_name", "form"])
+    top = named.groupBy(load, "column_name").agg(F.max("change").alias("change"))
+    return named.join(top.withColumnRenamed("change", "__top"), [load, "column_name"]).where(F.col("change") == F.col("__top")).groupBy("column_name", load).agg(
+        F.min("form_expression").alias("form_expression"), F.max("change").alias("change")
+    )
+
+
 def profile_loads(df: DataFrame, *, load: str, numeric: list[str], categorical: list[str], min_share: float = MIN_SHARE) -> DataFrame:
     """The profile of each column and load.
 

@@ -48,6 +48,15 @@ def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name, (numeric, categorical) in LOADED.items():
+        found = profile.coverage_changes(table(spark, sf, name), study="study_id", load="load_id", at="loaded_at", columns=[*numeric, *categorical])
+        found = found.select(F.lit(name).alias("table_name"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def p3_expressions(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, (numeric, categorical) in LOADED.items():
@@ -121,7 +130,7 @@ def p7_fixture_study(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_records, p3_found, p3_profile, p3_expressions, p4_found, p4_report, p6_found, p6_options, p6_cells,
+        p1_found, p1_records, p3_found, p3_profile, p3_coverage, p3_expressions, p4_found, p4_report, p6_found, p6_options, p6_cells,
         p6_uncertainty, p7_found, p7_study1, p7_fixture_study,
     )
 }

@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import re
 
+import pytest
+
 from lodestat.operators import profile
 
 LOADS = "study string, load bigint, at timestamp, x double, k string, value string"
@@ -85,3 +87,11 @@ def test_profile_counts(spark):
     assert (x.n_rows, x.n_null, x.n_distinct, x.mean, x.sd) == (4, 2, 1, 1.0, 0.0)
     assert got["k", 1].n_distinct == 3 and got["k", 1].mean is None and got["x", None].n_rows == 1
     assert profile.profile_loads(df.limit(0), load="load", numeric=["x"], categorical=["k"]).count() == 0
+
+
+def test_coverage_changes(spark):
+    rows = [("s", 1, T0, 1.0, "aa", None)] * 4 + [("s", 2, T0 + dt.timedelta(days=1), 1.0, k, None) for k in ("aa", "b1", "c2", "d-3")] + [("s", 3, None, 1.0, None, None)]
+    df = spark.createDataFrame(rows, LOADS)
+    got = {(r.column_name, r.load): (r.form_expression, r.change) for r in profile.coverage_changes(df, study="study", load="load", at="at", columns=["k", "x"]).collect()}
+    assert got["k", 2][1] == pytest.approx(0.75) and got["x", 2][1] == 0.0 and ("k", 3) not in got and ("k", 1) not in got
+    assert profile.coverage_changes(df.limit(0), study="study", load="load", at="at", columns=["k"]).count() == 0
