@@ -58,6 +58,10 @@ QUOTE_GOES_ON = (
     "と って という との とは とも など は が を に で の へ や も から まで より "
     "才 就 便 又 也 再 并 而 但 地 的 之 这 等 来 一 主试 他 她 他们 她们 问 说 道 答 写 喊 回答 指出 问道 说道 参与者 研究者 受试者"
 ).split()
+#: Of these, the ones that take up what was said even after a comma.
+_TAKES_UP = ("と", "って", "という", "との")
+#: Marks nested deeper than this are no nesting.
+MAX_DEPTH = 40
 _GOES_ON = tuple(sorted(QUOTE_GOES_ON, key=len, reverse=True))
 
 _SPACELESS = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u3006\uff66-\uff9f]"
@@ -66,7 +70,7 @@ _NOTES = r"(?:\[\d+(?:[,–-]\s?\d+)*\]|[¹²³⁰-⁹]+)"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "‘": "’"}
 _CLOSE = set(_OPEN.values())
 
-_BLANK = regex.compile(r"(?:[^\S\n\u2029]*(?:\n|\u2029)){2,}|\u2029|\r(?!\n)\s*\r(?!\n)")
+_BLANK = regex.compile(r"[\n\u2029](?:[^\S\n\u2029]*+[\n\u2029])+|\u2029|\r(?!\n)[^\S\r\n]*+\r(?!\n)")
 _ITEM = regex.compile(r"[^\S\n]*(?:(\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]|([-–—•*·‣▪◦])|\((\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})\))\s+\S")
 _EVENTS = regex.compile(
     r"[(\[{“”„«»「」『』（）［］【】《》〈〉)\]}\"‘]"
@@ -138,8 +142,8 @@ def _is_abbreviation(text: str, start: int, at: int, opens: str, nxt: str, rest:
     word = found.group().strip("'’-")
     low = unicodedata.normalize("NFC", word.lower())
     upper = nxt.isupper() or nxt.istitle()
-    if _LABEL.match(text, start, at) is not None and (m := _LABEL.match(text, start, at)).end() == at:
-        return True
+    if found.start() - start < 24 and _LABEL.match(text, start, at):
+        return True  # a label at the start stays with what it introduces
     if word.isdigit():
         if found.start() == start:
             return True  # a number that opens the unit
@@ -167,9 +171,7 @@ def _is_abbreviation(text: str, start: int, at: int, opens: str, nxt: str, rest:
             return nxt.isalnum()
         return not upper
     if low in MAY_END:
-        if nxt in "([" or opens[:1] in ("(", "["):
-            return True
-        return not (upper or opens or not nxt.isalnum() or not (nxt.islower() or nxt.isdigit()))
+        return opens[:1] in ("(", "[") or (not opens and (nxt.islower() or nxt.isdigit()))
     if "." in word and regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):  # dotted initials
         return not upper
     return False
@@ -222,16 +224,90 @@ def _items(text: str, start: int, end: int) -> list[tuple[int, int]] | None:
     return list(zip(starts, [*starts[1:], end]))
 
 
+class _Marks:
+    """Open quotations and brackets of a block.  A mark that is never closed opens nothing."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        self.open: list[tuple[str, int]] = []  # the closing mark expected, where it opened
+        self.last: dict[str, int] = {}
+
+    def _comes(self, mark: str, at: int) -> bool:
+        if mark not in self.last:
+            self.last[mark] = self.text.rfind(mark, self.start, self.end)
+        return self.last[mark] > at
+
+    def see(self, mark: str, at: int) -> bool:
+        """Takes note of a mark; False if it is neither quotation nor bracket."""
+        if mark in _OPEN and not (mark == "“" and self.open and self.open[-1][0] == "“"):
+            if self._comes(_OPEN[mark], at) or (mark == "„" and self._comes("”", at)):
+                self.open.append((_OPEN[mark], at))
+        elif mark == '"' and all(c != '"' for c, _ in self.open):
+            if self._comes('"', at):
+                self.open.append(('"', at))
+        elif mark in _CLOSE or mark == '"':
+            for i in range(len(self.open) - 1, -1, -1):
+                if _closes(mark, self.open[i][0]):
+                    del self.open[i:]
+                    break
+        else:
+            return False
+        if len(self.open) > MAX_DEPTH:
+            self.open.clear()
+        return True
+
+
+def _closes(mark: str, expected: str) -> bool:
+    return mark == expected or (expected == "“" and mark == "”")
+
+
+def _closing_marks(text: str, at: int, end: int, open_: list[tuple[str, int]]) -> tuple[int, list[tuple[str, int]], int]:
+    """What closes after a terminator: the end of the closing marks and note numbers, what stays open, where the outermost
+    closed mark had opened (-1 for none)."""
+    left, opened = list(open_), -1
+    while at < end:
+        ch = text[at]
+        if left and _closes(ch, left[-1][0]):
+            opened = left.pop()[1]
+        elif ch.isspace() and left and left[-1][0] == "»" and text[at + 1 : at + 2] == "»":
+            pass  # French sets a space before the closing mark
+        elif ch in "[¹²³⁰⁴⁵⁶⁷⁸⁹":
+            note = _NOTE.match(text, at, end)
+            if note is None:
+                break
+            at = note.end() - 1
+        elif ch not in _LOOSE:
+            break
+        at += 1
+    return at, left, opened
+
+
+def _ends_after_quote(text: str, begin: int, opened: int, opens: str, nxt: str, rest: int, prose: bool, spaceless: bool) -> bool:
+    """Whether a sentence ends with a quotation or bracket that a terminator closed."""
+    if text[opened] in "([（［{【":
+        return opened == begin  # a bracketed sentence within another does not end it
+    if prose or (nxt and nxt in ",;:،؛،、，；：—–-"):
+        return False
+    if not spaceless:
+        return True
+    intro = text[begin:opened].rstrip()
+    if not intro:
+        return bool(opens)  # a quotation that opens the sentence: what follows says who spoke
+    if intro[-1] in ":：":
+        return True
+    return not text.startswith(_TAKES_UP if intro[-1] in ",，" else _GOES_ON, rest)
+
+
 def _sentences(text: str, start: int, end: int) -> list[int]:
     """The ends of the sentences of a block of running text, the last one left out."""
+    while start < end and text[start].isspace():
+        start += 1
+    while end > start and text[end - 1].isspace():
+        end -= 1
     cuts: list[int] = []
-    begin = start
-    while begin < end and text[begin].isspace():
-        begin += 1
-    stack: list[tuple[str, int]] = []  # expected closing mark, where it opened
-    closed_at, closed_open = -1, -1
-    skip = start
-    thai = [m.span() for m in _THAI_GAP.finditer(text, start, end)] if _HAS_THAI.search(text, start, end) else []
+    begin = skip = start
+    marks = _Marks(text, start, end)
+    gaps = [m.span() for m in _THAI_GAP.finditer(text, start, end)] if _HAS_THAI.search(text, start, end) else []
     gap = 0
 
     def take(cut: int) -> None:
@@ -241,111 +317,44 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
         while begin < end and text[begin].isspace():
             begin += 1
 
-    for m in _EVENTS.finditer(text, start, end):
-        at = m.start()
-        while gap < len(thai) and thai[gap][0] <= at:
-            g = thai[gap]
+    def take_gaps(before: int) -> None:
+        nonlocal gap
+        while gap < len(gaps) and gaps[gap][0] <= before:
+            a, b = gaps[gap]
             gap += 1
-            if not stack and g[0] > begin and _thai_ends(text[max(begin, g[0] - 12) : g[0]], text[g[1] : min(end, g[1] + 12)]):
-                take(g[0])
-        if at < skip:
-            continue
-        mark = m.group()
-        one = mark[0]
-        if one in _OPEN and not (one == "“" and stack and stack[-1][0] == "“"):
-            if one == "‘" and text.find("’", at, min(end, at + 400)) < 0:
-                continue
-            if text.find(_OPEN[one], at + 1, end) < 0 and not (one == "«" and stack):
-                if not (one == "„" and text.find("”", at + 1, end) >= 0):
-                    continue  # never closed: no pair
-            stack.append((_OPEN[one], at))
-            continue
-        if one == '"':
-            if any(c == '"' for c, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                closed_at, closed_open = at + 1, stack.pop()[1]
-            elif text.find('"', at + 1, end) >= 0:
-                stack.append(('"', at))
+            if not marks.open and a > begin and _thai_ends(text[max(begin, a - 12) : a], text[b : min(end, b + 12)]):
+                take(a)
+
+    for m in _EVENTS.finditer(text, start, end):
+        at, mark = m.start(), m.group()
+        take_gaps(at)
+        if at < skip or marks.see(mark, at):
             continue
-        if one in _CLOSE:
-            if any(c == one or (c == "“" and one == "”") for c, _ in stack):
-                while True:
-                    c, o = stack.pop()
-                    if c == one or (c == "“" and one == "”"):
-                        break
-                closed_at, closed_open = at + 1, o
+        one, stop = mark[0], m.end()
+        after, left, opened = _closing_marks(text, stop, end, marks.open)
+        if left or after >= end:
+            continue  # inside of something that goes on, or the end of the block
+        spaced, hard = text[after].isspace(), one in _HARD
+        if one in ";\u037e" and not (spaced and _GREEK.match(text[max(start, at - 1) : at])):
             continue
-        # a terminator
-        stop = after = m.end()
-        depth = list(stack) if stack else stack
-        opened = -1
-        while after < end:
-            ch = text[after]
-            if depth and (ch == depth[-1][0] or (depth[-1][0] == "“" and ch == "”")):
-                opened = depth.pop()[1]
-            elif ch.isspace() and depth and depth[-1][0] == "»" and text[after + 1 : after + 2] == "»":
-                pass  # French sets a space before the closing mark
-            elif ch in "[¹²³⁰⁴⁵⁶⁷⁸⁹":
-                note = _NOTE.match(text, after, end)
-                if note is None:
-                    break
-                after = note.end()
-                continue
-            elif ch not in _LOOSE:
-                break
-            after += 1
-        closing = opened >= 0
-        if depth:
-            continue  # inside of a quotation or bracket that goes on
-        if after >= end or not text[after:end].strip():
-            continue  # the end of the block
-        spaced = text[after].isspace()
-        hard = one in _HARD
-        if one in ";\u037e":
-            if not (_GREEK.match(text[max(start, at - 1) : at]) and spaced):
-                continue
-        if not spaced and not hard and not (one in "!?" and _SPACELESS_CHAR.match(text, after)) and not _RUN_ON.match(text, stop, end):
+        if not (spaced or hard or (one in "!?" and _SPACELESS_CHAR.match(text, after)) or _RUN_ON.match(text, stop, end)):
             continue
         look = _NEXT.match(text, after, end)
-        opens, nxt = look.group(1), look.group(2)
-        rest = look.start(2)
+        opens, nxt, rest = look.group(1), look.group(2), look.start(2)
         prose = nxt.islower() and _SYMBOL.match(text, rest) is None
-        if closing:
-            bracket = text[opened] in "([（［{【"
-            if bracket and opened > begin:
-                continue  # a bracketed sentence within another
-            if not bracket:
-                if (nxt and nxt in ",;:،؛،、，；：—–-") or prose:
-                    continue
-                intro = text[begin:opened].rstrip()
-                if _SPACELESS_CHAR.match(text, rest) and not spaced or hard:
-                    if not intro:
-                        if not opens:
-                            continue  # a quotation that opens the sentence: what follows says who spoke
-                    elif intro[-1] not in ":：,，" and text.startswith(_GOES_ON, rest):
-                        continue
-                    elif intro[-1] not in ":：" and text.startswith(_GOES_ON[:0] or ("と", "って", "という", "との"), rest):
-                        continue
-                elif not intro and not (nxt.isupper() or nxt.istitle() or opens or nxt.isdigit()) and not nxt.isalpha():
-                    continue
-            stack = depth
+        if opened >= 0:
+            ends = _ends_after_quote(text, begin, opened, opens, nxt, rest, prose, hard or (not spaced and _SPACELESS_CHAR.match(text, rest) is not None))
+        elif mark == ".":
+            ends = after > stop or not _is_abbreviation(text, begin, at, opens, nxt, rest)
+        elif set(mark) <= {".", "…"}:  # an ellipsis
+            ends = not (prose or (nxt and nxt in ",;"))
+        else:
+            ends = hard or not (nxt and nxt in ",;،、，")
+        if ends:
+            marks.open = left
             take(after)
             skip = after
-            continue
-        if mark == ".":
-            if after == stop and _is_abbreviation(text, begin, at, opens, nxt, rest):
-                continue
-        elif one in ".…" and set(mark) <= {".", "…"}:  # an ellipsis
-            if prose or (nxt and nxt in ",;"):
-                continue
-        elif nxt and nxt in ",;،、，" and not hard:
-            continue
-        take(after)
-        skip = after
-    for g in thai[gap:]:
-        if not stack and g[0] > begin and _thai_ends(text[max(begin, g[0] - 12) : g[0]], text[g[1] : min(end, g[1] + 12)]):
-            take(g[0])
+    take_gaps(end)
     return cuts
 
 
