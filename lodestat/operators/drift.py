@@ -180,7 +180,7 @@ def file_versions(files: DataFrame) -> DataFrame:
     skinny = once.select("file_id", "path", "written_at", F.pandas_udf(_fingerprints, "string")("payload").alias("fingerprint"))
     return previous_row(
         skinny, by="path", order=["written_at", "file_id"], carry=["file_id", "fingerprint"],
-        slice_of=F.date_trunc("month", F.col("written_at").cast("timestamp")),
+        slice_of=F.date_trunc("day", F.col("written_at").cast("timestamp")),
     )
 
 
@@ -195,7 +195,7 @@ def file_changes(files: DataFrame) -> DataFrame:
     key take part in the fields but not in the comparison of values; repeated keys are paired in order.
 
     Scale: payloads are read twice and move only where the fingerprint changed; the order of a
-    path is found in monthly slices on narrow rows.
+    path is found in daily slices on narrow rows.
     """
     changed = file_versions(files).where(F.col("prev").isNotNull() & ~F.col("fingerprint").eqNullSafe(F.col("prev.fingerprint")))
     payloads = files.select(F.col("file_id").alias("fid"), "payload").where(F.col("fid").isNotNull()).dropDuplicates(["fid"])
