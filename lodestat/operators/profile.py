@@ -161,7 +161,8 @@ def load_breaks(
     aggs += [F.count(c).alias(f"n_{c}") for c in categorical]
     loads = cut(df.groupBy(study, load).agg(*aggs))
     stats = [c for c in loads.columns if c not in (study, load, "__at")]
-    first = loads.groupBy(study).agg(F.min_by(F.struct(load, *stats), F.struct(F.coalesce("__at", F.lit("9999-12-31").cast(loads.schema["__at"].dataType)), load)).alias("f"))
+    when = F.coalesce("__at", F.lit("9999-12-31").cast(loads.schema["__at"].dataType))
+    first = cut(loads.groupBy(study).agg(F.min_by(F.struct(load, *stats), F.struct(when, load)).alias("f")))
     issues = []
 
     with_first = loads.join(first, study).where(F.col(load) != F.col(f"f.{load}"))
@@ -197,27 +198,21 @@ def load_breaks(
         out.append(per_load.select(F.col(load), F.inline(F.array_compact(F.array(*issues)))))
 
     if categorical:
-        counts = cut(value_counts(df, [study, load], categorical).where(F.col("value").isNotNull()))
         firsts = first.select(study, F.col(f"f.{load}").alias("__first"))
-        marked = counts.join(firsts, study)
-        base = marked.where(F.col(load) == F.col("__first")).select(study, "column_name", "value", F.col("n").alias("first_n"))
+        counts = value_counts(df, [study, load], categorical).where(F.col("value").isNotNull())
+        marked = cut(counts.join(firsts, study).select(study, load, "column_name", "value", "n", (F.col(load) == F.col("__first")).alias("__is_first")))
+        base = marked.where("__is_first").select(study, "column_name", "value", F.col("n").alias("first_n"))
         forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "form").distinct().withColumn("__covered", F.lit(True))
-        later = marked.where(F.col(load) != F.col("__first")).withColumn("form", _runs(_classes(F.col("value"))))
-        covered = later.join(forms, [study, "column_name", "form"], "left")
-        seen = covered.join(base, [study, "column_name", "value"], "left")
-        foreign = F.col("__covered").isNull() | F.col("first_n").isNull()
-        base_has = base.select(study, "column_name").distinct()
-        out.append(seen.where(foreign).join(base_has, [study, "column_name"], "left_semi").select(F.col(load), "column_name", F.lit("foreign").alias("issue")).distinct())
-        kept = seen.where(~foreign)
-        total = kept.groupBy(study, load, "column_name").agg(F.sum("n").alias("kept_n"))
         base_total = base.groupBy(study, "column_name").agg(F.sum("first_n").alias("base_n"))
+        later = marked.where("NOT __is_first").drop("__is_first").withColumn("form", _runs(_classes(F.col("value"))))
+        seen = later.join(base_total, [study, "column_name"]).join(forms, [study, "column_name", "form"], "left").join(base, [study, "column_name", "value"], "left")
+        # a form that the first load lacks is foreign at once; a covered one if the value itself is not there
+        seen = cut(seen.select(study, load, "column_name", "value", "n", "base_n", (F.col("__covered").isNull() | F.col("first_n").isNull()).alias("__foreign")))
+        out.append(seen.where("__foreign").select(F.col(load), "column_name", F.lit("foreign").alias("issue")).distinct())
+        kept = seen.where("NOT __foreign")
+        total = kept.groupBy(study, load, "column_name", "base_n").agg(F.sum("n").alias("kept_n")).where("kept_n >= 2")
         # each value of the first load against each load of the same study: at most as many rows as the loads have
-        pairs = (
-            total.where(F.col("kept_n") >= 2)
-            .join(base, [study, "column_name"])
-            .join(kept.select(study, load, "column_name", "value", "n"), [study, load, "column_name", "value"], "left")
-            .join(base_total, [study, "column_name"])
-        )
+        pairs = total.join(base, [study, "column_name"]).join(kept.select(study, load, "column_name", "value", "n"), [study, load, "column_name", "value"], "left")
         num, den = VALUE_SHARE
         n = F.coalesce("n", F.lit(0))
         far = F.abs(n * F.col("base_n") - F.col("first_n") * F.col("kept_n")) * den > num * F.col("base_n") * F.col("kept_n")
