@@ -11,11 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _or_empty(array: Column, like: Column) -> Column:
-    """``array``, or an empty array of the type of ``like`` where it is null."""
-    return F.coalesce(array, F.filter(like, lambda _: F.lit(False)))
-
-
 def flatten_options(contracts: DataFrame) -> DataFrame:
     """One row for each option that is not null: record_id, pos_outer, pos_inner, field, kind, option.
 

@@ -78,7 +78,9 @@ def profile_table(df: DataFrame, columns: list[str]) -> DataFrame:
     One scan counts the distinct values of all columns; everything else follows from the counts.
     """
     kinds = dict(df.dtypes)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _known(df, c).cast("double" if kinds[c] != "string" else "string").cast("double").alias("x") if kinds[c] != "string" else F.lit(None).cast("double").alias("x"), _known(df, c).cast("string").alias("v")) for c in columns])
+    none = F.lit(None).cast("double")
+    cells = [(c, _known(df, c), kinds[c] != "string") for c in columns]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), (v.cast("double") if number else none).alias("x"), v.cast("string").alias("v")) for c, v, number in cells])
     counts = df.select(F.inline(pairs)).groupBy("column_name", "x", "v").agg(F.count("*").alias("n"))
     named = counts.withColumn("w", F.when(F.col("x").isNotNull(), F.col("n")))
     sums = [F.sum(F.col("w") * F.pow("x", F.lit(float(i)))) for i in (1, 2, 3)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.distributions import quantile
 from lodestat.functions.expr import blank_to_null, finite, is_close, nan_to_null, strict_number
-from lodestat.operators.ranked import exact_quantiles
+from lodestat.operators.ranked import cumulative, exact_quantiles
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -183,7 +183,6 @@ def outliers_residual(df: DataFrame, outcome: str, predictor: str, covariates: l
         s = math.sqrt(max(0.0, (vv - beta @ zv) / (n - k)))
         residual = F.col(v) - reduce(lambda a, b: a + b, [z[i] * float(beta[i]) for i in range(k)])
         scores.append(F.abs(residual) / (s * F.sqrt(1 - lever)))
-    scored = df.withColumn("__score", F.round(F.greatest(*scores), 12))
-    drop = math.ceil(fraction * n)
-    gone = scored.orderBy(F.desc("__score"), F.asc(tie)).limit(drop).select(F.col(tie).alias("__gone"))
-    return scored.join(gone, F.col(tie).eqNullSafe(F.col("__gone")), "left_anti").drop("__score")
+    scored = df.withColumns({"__score": -F.round(F.greatest(*scores), 12), "__one": F.lit(1)})
+    ranked = cumulative(scored, [], ["__score", tie], "__one")  # largest scores first, without one task for all rows
+    return ranked.where(F.col("before") >= math.ceil(fraction * n)).select(*df.columns)

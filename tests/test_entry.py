@@ -39,7 +39,7 @@ def _same(spark, small, name):
     assert norm(got) == norm(want)
 
 
-@pytest.mark.parametrize("name", ["paired_t", "p3_found", "p4_found", "p6_found", "yuen_paired", "holm", "grade_bands", "grouping_totals", "precision_recall"])
+@pytest.mark.parametrize("name", ["paired_t", "p3_found", "p4_found", "p6_found", "p7_found", "yuen_paired", "holm", "grade_bands", "grouping_totals", "precision_recall"])
 def test_against_sql(spark, small, name):
     _same(spark, small, name)
 
