@@ -912,28 +912,27 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finish(df: DataFrame, name: str, mode: str, own_state: bool = False) -> DataFrame:
-    unique = f"{name}_{uuid.uuid4().hex[:8]}"
-    return ledger.run_once(df, unique, mode, f"{shared_dir(df.sparkSession)}/stream_{unique}", own_state)
+def _finish(df: DataFrame, mode: str, own_state: bool = False) -> DataFrame:
+    return ledger.run_once(df, mode, f"{shared_dir(df.sparkSession)}/stream_{uuid.uuid4().hex}", own_state)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_finish(ledger.running_totals(_events(spark, sf), "event_type", "value"), "totals", "complete"), 4)
+    return rounded(_finish(ledger.running_totals(_events(spark, sf), "event_type", "value"), "complete"), 4)
 
 
 @query()
 def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).withColumn("failed", F.col("value") > 90)
-    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed"), "cooldown", "append")
+    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed"), "append")
 
 
 @query()
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _finish(ledger.windowed_totals(_events(spark, sf), "ts", "event_type", "value"), "windows", "append")
+    return _finish(ledger.windowed_totals(_events(spark, sf), "ts", "event_type", "value"), "append")
 
 
 @query()
 def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("event_id", "user_id", "ts", F.col("value").alias("cost"), F.lit(5.0).alias("reserved"))
-    return _finish(ledger.budget_stream(e, "user_id", 300.0), "budget", "append", True)
+    return _finish(ledger.budget_stream(e, "user_id", 300.0), "append", True)

@@ -77,15 +77,22 @@ def budget_stream(events: DataFrame, by: str, cap: float, baseline: float = 0.0)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str, own_state: bool = False) -> DataFrame:
-    """Runs a stream over all that is there and returns the table of its results."""
-    conf, key = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+def run_once(df: DataFrame, mode: str, folder: str, own_state: bool = False) -> DataFrame:
+    """Runs a stream over all that is there and returns the table of its results, written under ``folder`` (a shared one).
+
+    Appended rows go to a file sink; complete results replace the table with each batch.  Nothing passes through the driver.
+    """
+    conf, key, out = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass", f"{folder}/result"
     before = conf.get(key)
     if own_state:
         conf.set(key, ROCKS)
     try:
-        query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+        if mode == "append":
+            query = stream.format("parquet").option("path", out).start()
+        else:
+            query = stream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
         query.awaitTermination()
     finally:
         conf.set(key, before)
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

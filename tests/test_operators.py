@@ -253,9 +253,9 @@ def test_streams_equal_batches(spark, tmp_path):
     path = str(tmp_path / "events")
     batch.repartition(3).write.parquet(path)
     stream = lambda: ledger.event_stream(spark, path, batch.schema)
-    got = ledger.run_once(ledger.running_totals(stream(), "u", "cost"), "totals_test", "complete", str(tmp_path / "c1"))
+    got = ledger.run_once(ledger.running_totals(stream(), "u", "cost"), "complete", str(tmp_path / "c1"))
     assert values(got, "u", "n", "total") == values(batch.groupBy("u").agg(F.count("*").alias("n"), F.sum("cost").alias("total")), "u", "n", "total")
-    got = ledger.run_once(ledger.budget_stream(stream(), "u", 20.0), "budget_test", "append", str(tmp_path / "c2"), own_state=True)
+    got = ledger.run_once(ledger.budget_stream(stream(), "u", 20.0), "append", str(tmp_path / "c2"), own_state=True)
     used, want = {}, set()
     for i, ts, u, cost, reserved, _ in sorted(rows, key=lambda r: (r[1], r[0])):
         amount = reserved if cost is None else cost
@@ -263,5 +263,5 @@ def test_streams_equal_batches(spark, tmp_path):
         used[u] = used.get(u, 0.0) + amount * ok
         want.add((i, ok))
     assert {(r.event_id, r.accepted) for r in got.collect()} == want
-    cooled = ledger.run_once(ledger.cooling_windows(stream(), "ts", "u", "failed"), "cool_test", "append", str(tmp_path / "c3"))
+    cooled = ledger.run_once(ledger.cooling_windows(stream(), "ts", "u", "failed"), "append", str(tmp_path / "c3"))
     assert cooled.count() > 0 and not any(math.isnan(r.n_failures) for r in cooled.collect())
