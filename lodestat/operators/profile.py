@@ -145,7 +145,8 @@ def load_breaks(
     differs by more than 0.20.
 
     NaN counts as null.  Rows with a null study or load are left out.  Where the first load has
-    no value there is nothing foreign and no shift; where it has one, no shift of numbers.
+    no number there is nothing foreign and no shift, where it has one no shift; where it has no
+    category every later one is foreign.
     Repeated rows count as delivered.  An empty table gives no rows.
 
     Scale: two scans with partial aggregation by load, one of the distinct categories.  The first loads
@@ -205,7 +206,7 @@ def load_breaks(
         forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "form").distinct().withColumn("__covered", F.lit(True))
         base_total = base.groupBy(study, "column_name").agg(F.sum("first_n").alias("base_n"))
         later = marked.where("NOT __is_first").drop("__is_first").withColumn("form", _runs(_classes(F.col("value"))))
-        seen = later.join(base_total, [study, "column_name"]).join(forms, [study, "column_name", "form"], "left").join(base, [study, "column_name", "value"], "left")
+        seen = later.join(base_total, [study, "column_name"], "left").join(forms, [study, "column_name", "form"], "left").join(base, [study, "column_name", "value"], "left")
         # a form that the first load lacks is foreign at once; a covered one if the value itself is not there
         seen = cut(seen.select(study, load, "column_name", "value", "n", "base_n", (F.col("__covered").isNull() | F.col("first_n").isNull()).alias("__foreign")))
         out.append(seen.where("__foreign").select(F.col(load), "column_name", F.lit("foreign").alias("issue")).distinct())

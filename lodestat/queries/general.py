@@ -171,7 +171,7 @@ SELECT DISTINCT '{t}' AS table_name, column_name, load_id, issue FROM (
       CASE WHEN l.is_number THEN l.v::DOUBLE BETWEEN b.lo - (b.hi - b.lo) AND b.hi + (b.hi - b.lo)
            ELSE l.v IN (SELECT k.v FROM long k WHERE k.study_id = l.study_id AND k.load_id = f.first_id AND k.column_name = l.column_name AND k.v IS NOT NULL) END AS near
     FROM long l JOIN f ON l.study_id = f.study_id AND l.load_id <> f.first_id
-    JOIN b ON b.study_id = l.study_id AND b.column_name = l.column_name WHERE l.v IS NOT NULL AND b.n > b.n0
+    JOIN b ON b.study_id = l.study_id AND b.column_name = l.column_name WHERE l.v IS NOT NULL AND (b.n > b.n0 OR NOT l.is_number)
   ), g AS (
     SELECT study_id, column_name, load_id, avg(v::DOUBLE) AS m, stddev_samp(v::DOUBLE) AS s, count(*) AS n, any_value(bm) AS bm, any_value(bs) AS bs
     FROM x WHERE is_number AND near GROUP BY ALL
