@@ -149,6 +149,18 @@ def decode_lists(values: np.ndarray, offsets: np.ndarray, buffer: np.ndarray, st
     return [data[ends[a] : ends[b]].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+#: Bytes of ids that one batch of results may hold.
+BATCH_BYTES = 64_000_000
+
+
+def _lists(keys: pa.Array, rows: list[bytes], key: str) -> pa.RecordBatch:
+    """Keys and packed ids as a batch of lists."""
+    offsets = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=[key, "ids"])
+
+
 def encode_corpus(documents: DataFrame, *, text: str = "text", key: str = "doc_id", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``key`` and ids (array of int) of every document, without special tokens.
 
@@ -163,12 +175,17 @@ def encode_corpus(documents: DataFrame, *, text: str = "text", key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(name, folder).encode_packed
         for batch in batches:
-            rows = [packed(t) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, dtype=np.int64)
-            np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-            flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+            keys, texts = batch.column(0), batch.column(1)
+            rows: list[bytes] = []
+            size = first = 0
+            for i in range(len(batch)):
+                row = packed(texts[i].as_py())
+                rows.append(row)
+                size += len(row)
+                if size > BATCH_BYTES:  # long texts: hand on what there is
+                    yield _lists(keys.slice(first, len(rows)), rows, key)
+                    rows, size, first = [], 0, i + 1
+            yield _lists(keys.slice(first, len(rows)), rows, key)
 
     return documents.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 

@@ -62,6 +62,14 @@ def test_tables_start_anew_without_changing_results(monkeypatch):
     assert all(fresh.encode(t) == encode(t) for t in texts()[:120])
 
 
+def test_batches_of_long_texts_are_split():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = bpe._lists(pa.array([1, 2, 3]), [np.array([5, 6], np.int32).tobytes(), b"", np.array([7], np.int32).tobytes()], "k")
+    assert batch.to_pydict() == {"k": [1, 2, 3], "ids": [[5, 6], [], [7]]}
+
+
 def test_round_trip(spark):
     rows = [(i, t, "x", [1]) for i, t in enumerate(ODD)] + [(100, None, None, None), (None, "a", None, None), (0, "again", None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, ids array<int>")
