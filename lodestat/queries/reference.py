@@ -921,15 +921,19 @@ def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_finish(ledger.running_totals(_events(spark, sf), "event_type", "value"), "complete"), 4)
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, ts::TIMESTAMP AS ts FROM events WHERE value > 90 AND ts IS NOT NULL),
+b AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 900 SECOND, true)::INT AS opens FROM f),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM b)
+SELECT user_id, min(ts) AS cool_from, max(ts) + INTERVAL 900 SECOND AS cool_until, count(*) AS n_failures FROM s GROUP BY user_id, session""")
 def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).withColumn("failed", F.col("value") > 90)
-    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed"), "append")
+    # complete: sessions still open at the end count; their state, one row for each session, is kept on disk
+    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed"), "complete", True)
 
 
-@query()
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _finish(ledger.windowed_totals(_events(spark, sf), "ts", "event_type", "value"), "append")
+    return rounded(_finish(ledger.windowed_totals(_events(spark, sf), "ts", "event_type", "value"), "complete"), 4)
 
 
 @query()

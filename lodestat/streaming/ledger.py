@@ -27,13 +27,17 @@ def running_totals(events: DataFrame, by: str, amount: str) -> DataFrame:
 
 
 def windowed_totals(events: DataFrame, ts: str, by: str, amount: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """window_start, by, n, total of tumbling windows; events later than ``late`` are dropped with their closed window."""
+    """window_start, by, n, total of tumbling windows.
+
+    In complete mode every window is there, those still open at the end as well, and no event is dropped.  In append mode, for streams
+    that go on, a window comes when the watermark has passed it: open ones are held back, events later than ``late`` are dropped.
+    """
     w = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
     return w.select(F.col("w.start").alias("window_start"), by, "n", "total")
 
 
 def cooling_windows(events: DataFrame, ts: str, by: str, failed: str, width: str = "900 seconds", late: str = "1 hour") -> DataFrame:
-    """by, cool_from, cool_until, n_failures: sessions of failures no further apart than the cool-down."""
+    """by, cool_from, cool_until, n_failures: sessions of failures no further apart than the cool-down; modes as in ``windowed_totals``."""
     failures = events.where(F.col(failed)).withWatermark(ts, late)
     w = failures.groupBy(F.session_window(ts, width).alias("w"), by).agg(F.count("*").alias("n_failures"))
     return w.select(by, F.col("w.start").alias("cool_from"), F.col("w.end").alias("cool_until"), "n_failures")
