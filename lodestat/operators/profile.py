@@ -71,7 +71,8 @@ def induce_expressions(values: DataFrame, by: list[str], value: str, rows: str)
 
     ``values`` has one row for each distinct ``value`` of each group ``by`` (the column's name, say)
     with its number of ``rows``.  Gives ``by``, form (the runs of the value: the group of
-    candidates), level (``literal``, ``lengths`` or ``runs``), expression, n_values, n_rows, bits.
+    candidates), level (``literal``, ``lengths`` or ``runs``), expression, key (by which ``with_keys``
+    matches values to it), n_values, n_rows, bits.
 
     Null values are left out; an empty string has the empty expression.  Values repeated in
     ``values`` only count more often.  All groups are decided by aggregation, so no column's
@@ -94,7 +95,6 @@ def induce_expressions(values: DataFrame, by: list[str], value: str, rows: str)
         F.max("__written").alias("written"),
         F.count("*").alias("n_values"),
         F.sum("__n").alias("n_rows"),
-        F.min("__value").alias("one"),
     )
     exact = exact.withColumn("best", F.least("as_literals", "as_exact"))
     runs = exact.groupBy(*by, "__runs").agg(
@@ -104,19 +104,36 @@ def induce_expressions(values: DataFrame, by: list[str], value: str, rows: str)
         F.sum("n_rows").alias("n_rows"),
     )
     coarse = runs.where(F.col("bits") <= F.col("finer")).select(
-        *by, F.col("__runs").alias("form"), F.lit("runs").alias("level"), _expression(F.col("__runs"), False).alias("expression"), "n_values", "n_rows", F.round("bits", 1).alias("bits")
-    )
-    fine = (
-        exact.join(runs.where(F.col("bits") > F.col("finer")).select(*by, "__runs"), [*by, "__runs"], "left_semi")
-        .withColumn("literal", F.col("as_literals") <= F.col("as_exact"))
-        .select(
-            *by, F.col("__runs").alias("form"), F.when(F.col("literal"), "literal").otherwise("lengths").alias("level"),
-            # several values kept as literals of one form are one alternative each; the form stands for them
-            F.when(F.col("literal") & (F.col("n_values") == 1), _escape(F.col("one"))).otherwise(_expression(F.col("__exact"), True)).alias("expression"),
-            "n_values", "n_rows", F.round("best", 1).alias("bits"),
-        )
+        *by, F.col("__runs").alias("form"), F.lit("runs").alias("level"), _expression(F.col("__runs"), False).alias("expression"), _key("runs", F.col("__runs")).alias("key"),
+        "n_values", "n_rows", F.round("bits", 1).alias("bits"),
+    )
+    fine = exact.join(runs.where(F.col("bits") > F.col("finer")).select(*by, "__runs"), [*by, "__runs"], "left_semi").withColumn("literal", F.col("as_literals") <= F.col("as_exact"))
+    exactly = fine.where("NOT literal").select(
+        *by, F.col("__runs").alias("form"), F.lit("lengths").alias("level"), _expression(F.col("__exact"), True).alias("expression"), _key("lengths", F.col("__exact")).alias("key"),
+        "n_values", "n_rows", F.round("best", 1).alias("bits"),
     )
-    return coarse.unionByName(fine)
+    # values kept as literals are one expression each
+    literal = v.join(fine.where("literal").select(*by, "__runs", "__exact"), [*by, "__runs", "__exact"], "left_semi").groupBy(*by, "__runs", "__value").agg(
+        F.count("*").alias("n_values"), F.sum("__n").alias("n_rows"), F.round(F.sum("__literal"), 1).alias("bits")
+    )
+    literal = literal.select(
+        *by, F.col("__runs").alias("form"), F.lit("literal").alias("level"), _escape(F.col("__value")).alias("expression"), _key("literal", F.col("__value")).alias("key"), "n_values", "n_rows", "bits"
+    )
+    return coarse.unionByName(exactly).unionByName(literal)
+
+
+def _key(level: str, form: Column) -> Column:
+    return F.concat(F.lit(f"{level} "), form)
+
+
+def with_keys(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``key``, three rows for each: the keys of the expressions that may match ``value``.
+
+    A group of forms is kept on one level, so of the three at most one is the key of an expression that was chosen.
+    """
+    forms = df.withColumn("__exact", _classes(F.col(value)))
+    keys = F.array(_key("runs", _runs(F.col("__exact"))), _key("lengths", F.col("__exact")), _key("literal", F.col(value)))
+    return forms.withColumn("key", F.explode(keys)).drop("__exact")
 
 
 def _escape(c: Column) -> Column:
@@ -203,11 +220,12 @@ def load_breaks(
         counts = value_counts(df, [study, load], categorical).where(F.col("value").isNotNull())
         marked = cut(counts.join(firsts, study).select(study, load, "column_name", "value", "n", (F.col(load) == F.col("__first")).alias("__is_first")))
         base = marked.where("__is_first").select(study, "column_name", "value", F.col("n").alias("first_n"))
-        forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "form").distinct().withColumn("__covered", F.lit(True))
+        forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "key", F.lit(True).alias("__covered"))
         base_total = base.groupBy(study, "column_name").agg(F.sum("first_n").alias("base_n"))
-        later = marked.where("NOT __is_first").drop("__is_first").withColumn("form", _runs(_classes(F.col("value"))))
-        seen = later.join(base_total, [study, "column_name"], "left").join(forms, [study, "column_name", "form"], "left").join(base, [study, "column_name", "value"], "left")
-        # a form that the first load lacks is foreign at once; a covered one if the value itself is not there
+        later = with_keys(marked.where("NOT __is_first").drop("__is_first"), "value").join(forms, [study, "column_name", "key"], "left")
+        later = later.groupBy(study, load, "column_name", "value").agg(F.first("n").alias("n"), F.max("__covered").alias("__covered"))
+        seen = later.join(base_total, [study, "column_name"], "left").join(base, [study, "column_name", "value"], "left")
+        # a value that no expression of the first load matches is foreign at once; a covered one if the value itself is not there
         seen = cut(seen.select(study, load, "column_name", "value", "n", "base_n", (F.col("__covered").isNull() | F.col("first_n").isNull()).alias("__foreign")))
         out.append(seen.where("__foreign").select(F.col(load), "column_name", F.lit("foreign").alias("issue")).distinct())
         kept = seen.where("NOT __foreign")
@@ -231,21 +249,22 @@ def coverage_changes(df: DataFrame, *, study: str, load: str, at: str, columns:
     """
     df = df.where(F.col(study).isNotNull() & F.col(load).isNotNull())
     counts = cut(value_counts(df, [study, load], columns).where(F.col("value").isNotNull()))
-    distinct = counts.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    induced = induce_expressions(distinct, ["column_name"], "value", "n").groupBy("column_name", "form").agg(F.min("expression").alias("form_expression"))
-    forms = counts.groupBy(study, load, "column_name", _runs(_classes(F.col("value"))).alias("form")).agg(F.sum("n").alias("n"))
-    totals = forms.groupBy(study, load, "column_name").agg(F.sum("n").alias("all_n"))
-    shares = cut(forms.join(totals, [study, load, "column_name"]).select(study, load, "column_name", "form", (F.col("n") / F.col("all_n")).alias("share")))
+    distinct = cut(counts.groupBy("column_name", "value").agg(F.sum("n").alias("n")))
+    induced = cut(induce_expressions(distinct, ["column_name"], "value", "n").select("column_name", "key", F.col("expression").alias("form_expression")))
+    matched = with_keys(distinct.drop("n"), "value").join(induced.select("column_name", "key"), ["column_name", "key"])
+    forms = counts.join(matched, ["column_name", "value"]).groupBy(study, load, "column_name", "key").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy(study, load, "column_name").agg(F.sum("n").alias("all_n"))
+    shares = cut(forms.join(totals, [study, load, "column_name"]).select(study, load, "column_name", "key", (F.col("n") / F.col("all_n")).alias("share")))
     when = F.coalesce(F.min(at), F.lit("9999-12-31").cast(df.schema[at].dataType))
     first = df.groupBy(study, load).agg(when.alias("__at")).groupBy(study).agg(F.min_by(load, F.struct("__at", load)).alias("__first"))
     marked = shares.join(first, study)
-    base = marked.where(F.col(load) == F.col("__first")).select(study, "column_name", "form", (-F.col("share")).alias("share"))
+    base = marked.where(F.col(load) == F.col("__first")).select(study, "column_name", "key", (-F.col("share")).alias("share"))
     later = marked.where(F.col(load) != F.col("__first"))
-    # the first load's forms against each later load of the study: as many rows as loads times forms
+    # the first load's expressions against each later load of the study: as many rows as loads times expressions
     expected = later.select(study, load, "column_name").distinct().join(base, [study, "column_name"])
-    both = later.select(study, load, "column_name", "form", "share").join(base.select(study, "column_name").distinct(), [study, "column_name"], "left_semi")
-    off = both.unionByName(expected).groupBy(load, "column_name", "form").agg(F.abs(F.sum("share")).alias("change"))
-    named = off.join(induced, ["column_name", "form"])
+    both = later.select(study, load, "column_name", "key", "share").join(base.select(study, "column_name").distinct(), [study, "column_name"], "left_semi")
+    off = both.unionByName(expected).groupBy(load, "column_name", "key").agg(F.abs(F.sum("share")).alias("change"))
+    named = off.join(induced, ["column_name", "key"])
     top = named.groupBy(load, "column_name").agg(F.max("change").alias("change"))
     return named.join(top.withColumnRenamed("change", "__top"), [load, "column_name"]).where(F.col("change") == F.col("__top")).groupBy("column_name", load).agg(
         F.min("form_expression").alias("form_expression"), F.max("change").alias("change")
@@ -264,16 +283,14 @@ def profile_loads(df: DataFrame, *, load: str, numeric: list[str], categorical:
     columns = [*numeric, *categorical]
     counts = cut(value_counts(df, [load], columns))
     named = counts.where(F.col("value").isNotNull())
-    distinct = named.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    distinct = cut(named.groupBy("column_name", "value").agg(F.sum("n").alias("n")))
     expressions = induce_expressions(distinct, ["column_name"], "value", "n")
     whole = named.groupBy("column_name").agg(F.sum("n").alias("all_n"))
-    good = (
-        expressions.groupBy("column_name", "form").agg(F.sum("n_rows").alias("form_n")).join(whole, "column_name")
-        .where(F.col("form_n") >= min_share * F.col("all_n")).select("column_name", "form", F.lit(True).alias("conforms"))
-    )
+    good = cut(expressions.join(whole, "column_name").where(F.col("n_rows") >= min_share * F.col("all_n")).select("column_name", "key"))
+    conforming = with_keys(distinct.drop("n"), "value").join(good, ["column_name", "key"]).select("column_name", "value", F.lit(True).alias("conforms"))
     is_number = F.col("column_name").isin(numeric)
     x = F.when(is_number, F.col("value").try_cast("double"))
-    marked = counts.withColumn("form", _runs(_classes(F.col("value")))).join(good, ["column_name", "form"], "left").withColumn("x", x)
+    marked = counts.join(conforming, ["column_name", "value"], "left").withColumn("x", x)
     nx = F.when(F.col("x").isNotNull(), F.col("n"))
     agg = marked.groupBy("column_name", load).agg(
         F.sum("n").alias("n_rows"),

@@ -63,7 +63,7 @@ def p3_expressions(spark: SparkSession, sf: str) -> DataFrame:
         counts = profile.value_counts(table(spark, sf, name), [], [*numeric, *categorical])
         found = profile.induce_expressions(counts, ["column_name"], "value", "n").select(F.lit(name).alias("table_name"), "*")
         out = found if out is None else out.unionByName(found)
-    return out.drop("form")
+    return out.drop("form", "key")
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
