@@ -105,20 +105,24 @@ def number_words(text: str) -> int | None:
     return total if seen else None
 
 
-def leak_forms(value: float, precision: int, least_digits: int = 2) -> list[str]:
-    """Every printed form that gives a value away: as printed and each coarser rounding, with and without the leading zero.
+def leak_forms(value: float, precision: int | None, least_digits: int = 2) -> list[str]:
+    """Every printed form that gives a value away, without its sign: as printed and each coarser rounding, with and without the leading zero.
 
-    Forms of fewer significant digits and coarser forms equal to a significance limit are left out.
+    An unknown precision is that of the shortest form.  Forms of fewer significant digits and other forms than the printed
+    one equal to a significance limit are left out, as are roundings to whole numbers of what is none.
     """
+    a = abs(value)
+    natural = f"{a:g}" if "e" not in f"{a:g}" else None
+    p = precision if precision is not None and 0 <= precision <= 6 else len((natural or "").partition(".")[2])
+    printed = f"{a:.{p}f}" if p or natural is None else natural
+    forms = [printed, *[f"{a:.{d}f}" for d in range(p - 1, 0, -1)], natural, str(int(a)) if a == int(a) else None]
     out = []
-    for p in range(precision, -1, -1):
-        shown = f"{value:.{p}f}"
-        digits = len(shown.replace("-", "").replace(".", "").lstrip("0"))
-        if digits < least_digits or (p < precision and abs(float(shown)) in (0.1, 0.05, 0.01, 0.001)):
+    for shown in forms:
+        if shown is None or len(shown.replace(".", "").lstrip("0")) < least_digits or (shown != printed and float(shown) in (0.1, 0.05, 0.01, 0.001)):
             continue
         out.append(shown)
-        if 0 < abs(float(shown)) < 1:
-            out.append(shown.replace("0.", ".", 1))
+        if shown.startswith("0."):
+            out.append(shown[1:])
     return list(dict.fromkeys(out))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,6 +16,13 @@ from lodestat.operators.sequence import merge_intervals
 
 #: Distinct forms that one scan may look for; they make one automaton for each worker.
 MAX_FORMS = 2_000_000
+#: Kinds that carry a result; the bounds of an interval count as one kind.
+INFERENTIAL = ("t", "F", "chi2", "z", "d", "r", "OR", "HR", "eta2", "coefficient", "p_value", "se", "ci_bound", "ci_lower", "ci_upper")
+#: Kinds that are never printed as a percentage.
+NEVER_PERCENT = ("t", "F", "chi2", "z", "d", "r", "OR", "HR", "eta2", "p_value")
+#: Degrees of freedom in notes on uncertainty follow from the sample size: they are no results.
+DF_KEYS = ("df", "df1", "df2", "df_num", "df_den", "df_numerator", "df_denominator", "degrees_of_freedom")
+DF_TEXT = r"(?<![A-Za-z])(?:t|F|z|Z|r|Q|W|H|U|chi2|χ2|χ²)\s*\(\s*[\d.,\s]+\)|(?i:\b(?:df(?:[_ ]?(?:num|den|numerator|denominator|1|2))?|degrees?\s+of\s+freedom)\s*[=:]\s*\d+(?:\.\d+)?)"
 
 
 def pages(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,45 +54,80 @@ def anchored(findings: DataFrame, texts: DataFrame, key: str, anchor: str, text:
     return findings.where(F.length(anchor) >= least).join(texts, key).where(F.col(text).contains(F.col(anchor)))
 
 
-def forbidden_forms(values: DataFrame, key: str, value: str, precision: str, least_digits: int = 2) -> DataFrame:
-    """key, form of every printed form that would give a value away."""
+def result_values(claims: DataFrame, contracts: DataFrame) -> DataFrame:
+    """claim_uid, value, precision_digits, least_digits, percent: the numbers of all claims that give a result away.
+
+    A claim does if its kind is inferential, if it is a headline, or if an analysis of ``contracts`` lists it together with
+    one of these.  The numbers in its uncertainty count too, without degrees of freedom.  Two digits give away a headline
+    or a p value, three any other.  Design numbers are exempt only if the caller leaves them out: no table has them.
+    """
+    kind, headline = F.col("quantity_kind"), F.coalesce(F.col("importance") == "headline", F.lit(False))
+    c = claims.where(F.col("value").isNotNull()).withColumn("__own", headline | F.coalesce(kind.isin(*INFERENTIAL), F.lit(False)))
+    listed = contracts.select("record_id", "paper_id", F.explode("claim_ids").alias("claim_id")).where("claim_id is not null").distinct()
+    carrying = claims.where(headline | kind.isin(*INFERENTIAL)).select("paper_id", "claim_id").distinct()
+    carried = listed.join(listed.join(carrying, ["paper_id", "claim_id"], "left_semi").select("record_id", "paper_id").distinct(), ["record_id", "paper_id"], "left_semi")
+    c = c.join(carried.select("paper_id", "claim_id", F.lit(True).alias("__carried")).distinct(), ["paper_id", "claim_id"], "left")
+    notes = F.filter(F.map_entries("uncertainty"), lambda e: ~F.lower(e["key"]).isin(*DF_KEYS) & e["value"].isNotNull())
+    texts = F.transform(notes, lambda e: F.regexp_replace(e["value"], DF_TEXT, " "))
+    found = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(r"-?\d*\.?\d+"), F.lit(0))))
+    numbers = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda n: F.struct(n.cast("double").alias("value"), F.lit(None).cast("int").alias("precision_digits")))
+    own = F.array(F.struct(F.col("value").cast("double").alias("value"), F.col("precision_digits").cast("int").alias("precision_digits")))
+    digits = F.when(headline | F.coalesce(kind == "p_value", F.lit(False)), 2).otherwise(3)
+    wanted = c.where(F.col("__own") | F.col("__carried"))
+    return wanted.select(
+        "claim_uid", digits.alias("least_digits"), F.coalesce(~kind.isin(*NEVER_PERCENT), F.lit(False)).alias("percent"), F.inline(F.concat(own, numbers))
+    ).distinct()
+
+
+def forbidden_forms(values: DataFrame, key: str, value: str, precision: str, least_digits: int | str = 2) -> DataFrame:
+    """key, form of every printed form that would give a value away, and ``percent`` if ``values`` have it.
+
+    ``least_digits`` is a number or the column that has it.
+    """
+    kept = ["percent"] if "percent" in values.columns else []
+    chosen = values.select(key, value, precision, *kept, (F.col(least_digits) if isinstance(least_digits, str) else F.lit(least_digits)).alias("__least"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, f) for k, v, p in zip(b[key], b[value], b[precision]) if v is not None and v == v and p == p for f in leak_forms(float(v), int(p), least_digits)]
-            yield pd.DataFrame(rows, columns=[key, "form"])
+            rows = []
+            for k, v, p, least, *more in zip(b[key], b[value], b[precision], b["__least"], *[b[c] for c in kept]):
+                if v is not None and math.isfinite(v):
+                    rows += [(k, f, *more) for f in leak_forms(float(v), int(p) if p is not None and p == p else None, int(least))]
+            yield pd.DataFrame(rows, columns=[key, "form", *kept])
 
     kind = dict(values.dtypes)[key]
-    return values.select(key, value, precision).mapInPandas(run, f"`{key}` {kind}, form string")
+    return chosen.mapInPandas(run, f"`{key}` {kind}, form string" + ", percent boolean" * len(kept))
 
 
 def scan_forms(texts: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
     """key, form, start, end of every boundary-aware occurrence of a form.
 
     All forms make one automaton, so a text is read once whatever their number.  An occurrence must not touch a word
-    character or a point with a digit, nor stand before ``% CI``; a minus before it belongs to it.
+    character or a point with a digit, nor stand before ``% CI``; a minus before it belongs to it.  Forms have no sign.
+    A form whose ``percent`` (if ``forms`` have it) is false in all rows may not stand before a percent sign.
     """
-    listed = [r.form for r in forms.select("form").where("form <> ''").distinct().limit(MAX_FORMS + 1).collect()]
+    percent = F.max("percent") if "percent" in forms.columns else F.lit(True)
+    listed = sorted((r.form, r.percent) for r in forms.where("form <> ''").groupBy("form").agg(percent.alias("percent")).limit(MAX_FORMS + 1).collect())
     if len(listed) > MAX_FORMS:
         raise ValueError(f"more than {MAX_FORMS} forms")
-    listed.sort()
     kind = dict(texts.dtypes)[key]
     box: list[ahocorasick.Automaton] = []
 
-    def bounded(t: str, a: int, b: int) -> bool:
+    level, share = re.compile(r"\s*%\s*(?:CI|confidence)"), re.compile(r"\s*%")
+
+    def bounded(t: str, a: int, b: int, percent: bool) -> bool:
         before, after = t[a - 1 : a], t[b : b + 1]
         if (before and (before.isalnum() or before in "_.")) or (after and (after.isalnum() or after == "_")):
             return False
         if after == "." and t[b + 1 : b + 2].isdigit():
             return False
-        rest = t[b : b + 6].replace(" ", "")
-        return not rest.startswith("%CI")
+        return not (level if percent else share).match(t, b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not box:
             machine = ahocorasick.Automaton()
-            for f in listed:
-                machine.add_word(f, f)
+            for f, percent in listed:
+                machine.add_word(f, (f, percent))
             if listed:
                 machine.make_automaton()
             box.append(machine)
@@ -91,10 +135,11 @@ def scan_forms(texts: DataFrame, key: str, text: str, forms: DataFrame) -> DataF
             rows = []
             for k, t in zip(b[key], b[text]):
                 if t and listed:
-                    for last, f in box[0].iter(t):
+                    for last, (f, percent) in box[0].iter(t):
                         a = last + 1 - len(f)
-                        if bounded(t, a, last + 1):
-                            rows.append((k, f, a, last + 1))
+                        if bounded(t, a, last + 1, percent):
+                            signed = t[a - 1 : a] in ("-", "−") and not (t[a - 2 : a - 1].isalnum() or t[a - 2 : a - 1] in ("_", "."))
+                            rows.append((k, f, a - signed, last + 1))
             yield pd.DataFrame(rows, columns=[key, "form", "start", "end"])
 
     return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, form string, start bigint, end bigint")

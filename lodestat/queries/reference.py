@@ -847,8 +847,8 @@ def page_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def leak_scan(spark: SparkSession, sf: str) -> DataFrame:
-    values = table(spark, sf, "claims").where("quantity_kind in ('t', 'd', 'F')").select("claim_uid", "value", "precision_digits").distinct()
-    forms = evidence.forbidden_forms(values, "claim_uid", "value", "precision_digits", 3)
+    values = evidence.result_values(table(spark, sf, "claims"), table(spark, sf, "contracts"))
+    forms = evidence.forbidden_forms(values, "claim_uid", "value", "precision_digits", "least_digits")
     hits = evidence.scan_forms(table(spark, sf, "documents"), "doc_id", "text", forms)
     return evidence.repair_spans(hits, "doc_id")
 
