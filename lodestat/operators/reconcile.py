@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,13 +113,13 @@ def request_matrix(rows: DataFrame, columns: DataFrame, cells: DataFrame, row_ke
     return j.select(row_key, column_key, value, state.alias("disposition"))
 
 
-def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: float = 0.05, rounds: int = 20) -> DataFrame:
+def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: float = 0.05, rounds: int | None = None) -> DataFrame:
     """left, right, score, round: pairs that are each other's best by ``margin``, taken out and repeated until none is left.
 
-    Ties and narrow leads stay unmatched.  The result does not depend on the order of rows.
+    ``rounds`` asks for the first so many rounds only.  Ties and narrow leads stay unmatched.  The result does not depend on the order of rows.
     """
     out, rest = None, pairs.select(left, right, score)
-    for i in range(1, rounds + 1):
+    for i in range(1, rounds + 1) if rounds else count(1):  # each round takes a pair out, so there is a last one
         def lead(df: DataFrame, side: str, name: str) -> DataFrame:
             w = Window.partitionBy(side).orderBy(F.desc(score))
             nxt = F.coalesce(F.lead(score).over(w), F.lit(float("-inf")))
@@ -127,6 +129,8 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: flo
         if not best.limit(1).count():
             break
         out = best if out is None else out.unionByName(best)
+        if i % 50 == 0:
+            out = cut(out)
         rest = cut(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
     return out if out is not None else rest.where("false").withColumn("round", F.lit(0))
 
