@@ -204,6 +204,8 @@ def evaluate(r: Recipe, sample: dict[str, np.ndarray], chi2: dict[int, float] |
     if not complete.all():
         raise ValueError("infinite value")
     keep = ~np.any([np.isnan(v) for v in s.values()], axis=0)
+    if keep.sum() < 4:
+        raise ValueError("fewer than four rows")
     s = {c: v[keep] for c, v in s.items()}
     knots = tuple(np.quantile(s[r.polynomial], r.spline_probs)) if r.spline_probs and r.polynomial else None
     if r.transform == "log":

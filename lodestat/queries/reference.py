@@ -365,31 +365,35 @@ def direct_plan(spark: SparkSession, sf: str) -> DataFrame:
 # Recipes with draws: declared samples, one for each study.
 
 
+#: Each with the draws that are the default of a recipe.
+RECIPES = {
+    "mean_bca": Recipe("paired", "outcome", "baseline", "mean", "t", "bca"),
+    "yuen": Recipe("paired", "outcome", "baseline", "yuen", "yuen", "yuen"),
+    "trimmed": Recipe("paired", "outcome", "baseline", "trimmed_difference", "yuen", "percentile"),
+    "sign_flip": Recipe("paired", "outcome", "baseline", "mean", "sign_flip", "student_t"),
+    "rank_biserial": Recipe("paired", "outcome", "baseline", "rank_biserial", "wilcoxon"),
+    "partial": Recipe("association", "baseline", "outcome", "partial", "t", "fisher_z", covariates=("age",), outliers="mahalanobis"),
+    "partial_spline": Recipe("association", "baseline", "outcome", "partial", "t", polynomial="age", spline_probs=(0.1, 0.5, 0.9)),
+    "freedman_lane": Recipe("association", "baseline", "outcome", "partial", "freedman_lane", covariates=("age",)),
+    "residual_permutation": Recipe("association", "baseline", "outcome", "semipartial", "residual_permutation", covariates=("age",), permute="predictor"),
+    "rank_partial": Recipe("association", "baseline", "outcome", "partial", "t", covariates=("age",), rank=True, rank_covariates=True),
+}
+
+
 def _study_sample(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "fixture_study").where("baseline between -5 and 5 and outcome between -20 and 20 and age between 10 and 100")
-    return t.groupBy("load_id", "pid").agg(*[F.min(c).alias(c) for c in ("baseline", "outcome", "age")])
+    """Whole loads with the last delivery of each pid; what to leave out is for the recipes to say."""
+    t = table(spark, sf, "fixture_study").select("load_id", "pid", "baseline", "outcome", "age", "loaded_at", "collected_at")
+    return reconcile.keep_last(t, ["load_id", "pid"], ["loaded_at", "collected_at", "baseline", "outcome", "age"])
 
 
 @query()
 def recipes(spark: SparkSession, sf: str) -> DataFrame:
-    plans = {
-        "mean_bca": Recipe("paired", "outcome", "baseline", "mean", "t", "bca", bootstrap_draws=1000),
-        "yuen": Recipe("paired", "outcome", "baseline", "yuen", "yuen", "yuen"),
-        "trimmed": Recipe("paired", "outcome", "baseline", "trimmed_difference", "yuen", "percentile", bootstrap_draws=1000),
-        "sign_flip": Recipe("paired", "outcome", "baseline", "mean", "sign_flip", "student_t", null_draws=1000),
-        "rank_biserial": Recipe("paired", "outcome", "baseline", "rank_biserial", "wilcoxon"),
-        "partial": Recipe("association", "baseline", "outcome", "partial", "t", "fisher_z", covariates=("age",), outliers="mahalanobis"),
-        "partial_spline": Recipe("association", "baseline", "outcome", "partial", "t", polynomial="age", spline_probs=(0.1, 0.5, 0.9)),
-        "freedman_lane": Recipe("association", "baseline", "outcome", "partial", "freedman_lane", covariates=("age",), null_draws=1000),
-        "residual_permutation": Recipe("association", "baseline", "outcome", "semipartial", "residual_permutation", covariates=("age",), permute="predictor", null_draws=1000),
-        "rank_partial": Recipe("association", "baseline", "outcome", "partial", "t", covariates=("age",), rank=True, rank_covariates=True),
-    }
-    return resample.run_recipes(_study_sample(spark, sf), plans, "pid", ["load_id"])
+    return resample.run_recipes(_study_sample(spark, sf), RECIPES, "pid", ["load_id"])
 
 
 @query()
 def resample_indices(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.resample_index(spark, 25, 1000, 8729 + 25)
+    return resample.resample_index(spark, 25, 9999, 8729 + 25)
 
 
 @query("""WITH g AS (SELECT s_nationkey, sum(s_acctbal) AS s, count(*) AS n FROM supplier GROUP BY 1)
