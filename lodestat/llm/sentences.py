@@ -3,9 +3,9 @@
 A document is cut into blocks at blank lines; a block is a list of items or running text.  In
 running text every terminator is a node of a lattice, whose edges are decided from its neighbours:
 the word before it (abbreviation, initial, ordinal, label), open quotes and brackets, closing marks
-after it and the opening of what follows.  Scripts without spaces are segmented at their gaps by a
-dictionary word lattice, and a gap is classified by the final particle before and the opening word
-after it.
+after it and the opening of what follows.  Thai is segmented at its gaps by a dictionary word
+lattice, and a gap is classified by the final particle before and the opening word after it.  After
+a closed quotation Chinese and Japanese are decided by prefixes from a fixed list, not by words.
 """
 
 from __future__ import annotations
