@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -25,6 +27,33 @@ def test_nothing_outside_imports_the_text_subpackage():
                     assert not re.search(r"(from|import)\s+lodestat\.llm", f.read()), name
 
 
+HIDE = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if any(name == h or name.startswith(h + ".") for h in {hidden!r}):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+names = set(entry.queries())
+print("p8_ids" in names, "p7_found" in names, "paired_t" in names, len(names))
+"""
+
+
+def _names_without(*hidden):
+    run = subprocess.run([sys.executable, "-c", HIDE.format(hidden=hidden)], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    return run.stdout.split() if run.returncode == 0 else run.stderr
+
+
+def test_text_queries_are_left_out_only_where_they_cannot_be_imported():
+    assert _names_without("lodestat.llm")[:3] == ["False", "True", "True"]
+    assert _names_without("regex")[:3] == ["False", "True", "True"]
+
+
+def test_a_broken_core_is_an_error():
+    assert "lodestat.functions.distributions" in _names_without("lodestat.functions.distributions")
+
+
 def _same(spark, small, name):
     con = duckdb.connect()
     for file in os.listdir(small):
