@@ -220,25 +220,41 @@ opt AS (SELECT record_id, i, ambiguities[i + 1] AS a, unnest(range(0, len(ambigu
 options AS (SELECT DISTINCT record_id, i AS pos_outer, j AS pos_inner, a.field AS field, a.kind AS kind, a.options[j + 1] AS option FROM opt WHERE a.options[j + 1] IS NOT NULL)"""
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
-_P7 = f"""
+_P7_RULES = f"""
 WITH l AS (SELECT layout, list(column_type ORDER BY pos) AS types FROM study_layouts GROUP BY 1),
 r AS (
-  SELECT line_id, types, regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') AS ok, regexp_extract_all(raw_line || ',', '({_FIELD}),', 1) AS f
+  SELECT line_id, file_name, layout, line_no, types, regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') AS ok, regexp_extract_all(raw_line || ',', '({_FIELD}),', 1) AS f
   FROM raw_study_lines JOIN l USING (layout)
 ), v AS (
   SELECT *, list_transform(f, lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, len(x) - 2), '""', '"') ELSE x END, ' ')) AS w FROM r
 ), j AS (
-  SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(f) <> len(types) THEN 'column_count' WHEN len(list_filter(range(1, len(w) + 1), lambda i:
+  SELECT line_id, file_name, layout, line_no, w, f, CASE WHEN NOT ok THEN 'quoting' WHEN len(f) <> len(types) THEN 'column_count' WHEN len(list_filter(range(1, len(w) + 1), lambda i:
     w[i] NOT IN ('', 'NA') AND CASE types[i] WHEN 'integer' THEN NOT regexp_full_match(w[i], '{rejects.GRAMMAR["integer"]}')
       WHEN 'number' THEN NOT regexp_full_match(w[i], '{rejects.GRAMMAR["number"]}') WHEN 'flag' THEN NOT regexp_full_match(w[i], '{rejects.GRAMMAR["flag"]}') ELSE false END)) > 0
     THEN 'bad_value' END AS reason FROM v
-) SELECT DISTINCT line_id, reason FROM j WHERE reason IS NOT NULL"""
+)"""
+_P7 = f"{_P7_RULES} SELECT DISTINCT line_id, reason FROM j WHERE reason IS NOT NULL"
+
+
+def _p7_typed(layout: str, columns: list[tuple[str, str]]) -> str:
+    """The valid rows of a layout: its columns in order with their types of study_layouts."""
+    kinds = {"integer": "BIGINT", "number": "DOUBLE", "flag": "INTEGER"}
+    cells = []
+    for i, (name, kind) in enumerate(columns, 1):
+        raw = f"CASE WHEN starts_with(f[{i}], '\"') THEN replace(substr(f[{i}], 2, len(f[{i}]) - 2), '\"\"', '\"') ELSE f[{i}] END"
+        cells.append(f"nullif({raw}, '') AS {name}" if kind == "text" else f"TRY_CAST(nullif(w[{i}], 'NA') AS {kinds[kind]}) AS {name}")
+    return f"{_P7_RULES} SELECT line_id, file_name, line_no, {', '.join(cells)} FROM j WHERE reason IS NULL AND layout = '{layout}'"
+
 
 SQL: dict[str, str] = {
     "p3_found": _p3_sql(),
     "p4_found": f"WITH {_REFS} SELECT * FROM orphans WHERE status IS NOT NULL",
     "p4_report": f"WITH {_REFS} SELECT ref_table, ref_month, status, count(*) AS n_orphans FROM orphans WHERE status IS NOT NULL GROUP BY ALL",
     "p7_found": _P7,
+    "p7_study1": _p7_typed("study1", [("pid", "text"), ("condition", "text"), ("age", "integer"), ("closeness", "number")]),
+    "p7_fixture_study": _p7_typed(
+        "fixture_study", [("pid", "text"), ("condition", "text"), ("baseline", "number"), ("outcome", "number"), ("attention_check", "flag"), ("age", "integer")]
+    ),
     "p6_options": f"WITH {_OPTIONS} SELECT * FROM options",
     "p6_cells": f"""WITH {_CELLS} SELECT DISTINCT case_id, list_name, pos_outer, e->>'$.claim_id' AS claim_id, e->>'$.location.page' AS page,
       e->>'$.location.kind' AS kind, e->>'$.location.label' AS label, e->>'$.location.cell' AS cell FROM cells""",
