@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 from lodestat.session import cut
 
-#: Character classes, as (private symbol, Java class, bits for one character, name in an expression).
+#: Character classes, as (private symbol, Java class, hundredths of a bit for one character, name in an expression).
 CLASSES = (
-    ("\ue001", r"\p{Lu}", 4.7, "[A-Z]"),
-    ("\ue002", r"\p{Ll}", 4.7, "[a-z]"),
-    ("\ue003", r"\p{L}", 12.0, r"\p{L}"),
-    ("\ue004", r"\p{Nd}", 3.33, r"\d"),
-    ("\ue005", r"\s", 1.0, r"\s"),
+    ("\ue001", r"\p{Lu}", 470, "[A-Z]"),
+    ("\ue002", r"\p{Ll}", 470, "[a-z]"),
+    ("\ue003", r"\p{L}", 1200, r"\p{L}"),
+    ("\ue004", r"\p{Nd}", 333, r"\d"),
+    ("\ue005", r"\s", 100, r"\s"),
 )
-#: Bits to write down a literal character, a class, and a length.
-LITERAL_BITS, CLASS_BITS, LENGTH_BITS = 8.0, 3.0, 4.0
+#: Hundredths of a bit to write down a literal character, a class, and a length: whole numbers, so that sums have no order.
+LITERAL_BITS, CLASS_BITS, LENGTH_BITS = 800, 300, 400
 #: An expression must hold this share of a column's known rows, else its rows do not conform.
 MIN_SHARE = 0.005
 
@@ -105,16 +105,16 @@ def induce_expressions(values: DataFrame, by: list[str], value: str, rows: str)
     )
     coarse = runs.where(F.col("bits") <= F.col("finer")).select(
         *by, F.col("__runs").alias("form"), F.lit("runs").alias("level"), _expression(F.col("__runs"), False).alias("expression"), _key("runs", F.col("__runs")).alias("key"),
-        "n_values", "n_rows", F.round("bits", 1).alias("bits"),
+        "n_values", "n_rows", (F.col("bits") / 100).alias("bits"),
     )
     fine = exact.join(runs.where(F.col("bits") > F.col("finer")).select(*by, "__runs"), [*by, "__runs"], "left_semi").withColumn("literal", F.col("as_literals") <= F.col("as_exact"))
     exactly = fine.where("NOT literal").select(
         *by, F.col("__runs").alias("form"), F.lit("lengths").alias("level"), _expression(F.col("__exact"), True).alias("expression"), _key("lengths", F.col("__exact")).alias("key"),
-        "n_values", "n_rows", F.round("best", 1).alias("bits"),
+        "n_values", "n_rows", (F.col("best") / 100).alias("bits"),
     )
     # values kept as literals are one expression each
     literal = v.join(fine.where("literal").select(*by, "__runs", "__exact"), [*by, "__runs", "__exact"], "left_semi").groupBy(*by, "__runs", "__value").agg(
-        F.count("*").alias("n_values"), F.sum("__n").alias("n_rows"), F.round(F.sum("__literal"), 1).alias("bits")
+        F.count("*").alias("n_values"), F.sum("__n").alias("n_rows"), (F.sum("__literal") / 100).alias("bits")
     )
     literal = literal.select(
         *by, F.col("__runs").alias("form"), F.lit("literal").alias("level"), _escape(F.col("__value")).alias("expression"), _key("literal", F.col("__value")).alias("key"), "n_values", "n_rows", "bits"
@@ -140,11 +140,30 @@ def _escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
 
 
+def number_text(c: Column) -> Column:
+    """A double as text without an exponent, as far as 12 decimals and 26 digits before them go."""
+    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ".0")
+    usual = (c == 0) | F.abs(c).between(1e-3, 9_999_999)
+    return F.when(usual | (F.abs(c) < 1e-12), c.cast("string")).otherwise(F.coalesce(plain, c.cast("string")))
+
+
 def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """``by``, column_name, value (as text; null for null and NaN), n: one row for each distinct value."""
+    """``by``, column_name, value (as text; null for null and NaN), n: one row for each distinct value.
+
+    Numbers are shuffled as numbers under the column's place; text and names come after the aggregation.
+    """
     kinds = dict(df.dtypes)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), known(F.col(c), kinds[c]).cast("string").alias("value")) for c in columns])
-    return df.select(*by, F.inline(pairs)).groupBy(*by, "column_name", "value").agg(F.count("*").alias("n"))
+    number = {c: kinds[c] not in ("string", "boolean", "date", "timestamp", "timestamp_ntz") for c in columns}
+    cells = []
+    for i, c in enumerate(columns):
+        v = known(F.col(c), kinds[c])
+        num, text = (v.cast("double"), F.lit(None).cast("string")) if number[c] else (F.lit(None).cast("double"), v.cast("string"))
+        cells.append(F.struct(F.lit(i).cast("tinyint").alias("__c"), num.alias("__x"), text.alias("__t")))
+    counts = df.select(*by, F.inline(F.array(*cells))).groupBy(*by, "__c", "__x", "__t").agg(F.count("*").alias("n"))
+    whole = [i for i, c in enumerate(columns) if number[c] and kinds[c] not in ("double", "float")]
+    shown = F.when(F.col("__c").isin(whole), F.col("__x").cast("bigint").cast("string")).otherwise(number_text(F.col("__x")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(*by, F.get(names, F.col("__c").cast("int")).alias("column_name"), F.coalesce("__t", shown).alias("value"), "n")
 
 
 def load_breaks(
@@ -154,9 +173,9 @@ def load_breaks(
 
     The first load has the smallest ``at``, then the smallest ``load``.  ``nulls``: the share of nulls
     differs by more than 0.10.  ``foreign``: a number further outside of the first load's range than
-    that range is wide, or a category that the first load does not have.  A category that no
-    expression induced from the first load's values matches is foreign at once; the rest is
-    compared exactly.  ``shift``: without nulls and foreign values, two at least being left, the mean
+    that range is wide, or a category that the first load does not have.  Categories are told by the expressions
+    induced from the first load's values: one that none matches is foreign, one that a literal matches is not, and one
+    that only a coarser expression matches is compared exactly.  ``shift``: without nulls and foreign values, two at least being left, the mean
     differs by more than 0.4 of the first load's standard deviation or the standard deviation is
     more than 1.6 times as large or small; for categories the share of a value of the first load
     differs by more than 0.20.
@@ -220,13 +239,16 @@ def load_breaks(
         counts = value_counts(df, [study, load], categorical).where(F.col("value").isNotNull())
         marked = cut(counts.join(firsts, study).select(study, load, "column_name", "value", "n", (F.col(load) == F.col("__first")).alias("__is_first")))
         base = marked.where("__is_first").select(study, "column_name", "value", F.col("n").alias("first_n"))
-        forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "key", F.lit(True).alias("__covered"))
+        forms = induce_expressions(base, [study, "column_name"], "value", "first_n").select(study, "column_name", "key", (F.col("level") == "literal").alias("__literal"))
         base_total = base.groupBy(study, "column_name").agg(F.sum("first_n").alias("base_n"))
         later = with_keys(marked.where("NOT __is_first").drop("__is_first"), "value").join(forms, [study, "column_name", "key"], "left")
-        later = later.groupBy(study, load, "column_name", "value").agg(F.first("n").alias("n"), F.max("__covered").alias("__covered"))
-        seen = later.join(base_total, [study, "column_name"], "left").join(base, [study, "column_name", "value"], "left")
-        # a value that no expression of the first load matches is foreign at once; a covered one if the value itself is not there
-        seen = cut(seen.select(study, load, "column_name", "value", "n", "base_n", (F.col("__covered").isNull() | F.col("first_n").isNull()).alias("__foreign")))
+        later = later.groupBy(study, load, "column_name", "value").agg(F.first("n").alias("n"), F.max("__literal").alias("__literal"))
+        # matched by a literal: known; by nothing: foreign; by a coarser expression: looked up among the first load's values
+        exact = base.select(study, "column_name", F.col("value").alias("__open"), F.lit(True).alias("__there"))
+        later = later.withColumn("__open", F.when(~F.col("__literal"), F.col("value"))).join(exact, [study, "column_name", "__open"], "left")
+        seen = later.join(base_total, [study, "column_name"], "left")
+        foreign = F.col("__literal").isNull() | (~F.col("__literal") & F.col("__there").isNull())
+        seen = cut(seen.select(study, load, "column_name", "value", "n", "base_n", foreign.alias("__foreign")))
         out.append(seen.where("__foreign").select(F.col(load), "column_name", F.lit("foreign").alias("issue")).distinct())
         kept = seen.where("NOT __foreign")
         total = kept.groupBy(study, load, "column_name", "base_n").agg(F.sum("n").alias("kept_n")).where("kept_n >= 2")
@@ -279,6 +301,9 @@ def profile_loads(df: DataFrame, *, load: str, numeric: list[str], categorical:
     the column's known rows.  Expressions are induced over all distinct values of the column.
 
     NaN counts as null; a null ``load`` is a load of its own; an empty table gives no rows.
+
+    Scale: one aggregation of the rows into counts by load, column and value, in which numbers travel as numbers, and one
+    of the distinct values, over which expressions are induced; moments come from a partial aggregation by load.
     """
     columns = [*numeric, *categorical]
     counts = cut(value_counts(df, [load], columns))
@@ -288,23 +313,24 @@ def profile_loads(df: DataFrame, *, load: str, numeric: list[str], categorical:
     whole = named.groupBy("column_name").agg(F.sum("n").alias("all_n"))
     good = cut(expressions.join(whole, "column_name").where(F.col("n_rows") >= min_share * F.col("all_n")).select("column_name", "key"))
     conforming = with_keys(distinct.drop("n"), "value").join(good, ["column_name", "key"]).select("column_name", "value", F.lit(True).alias("conforms"))
-    is_number = F.col("column_name").isin(numeric)
-    x = F.when(is_number, F.col("value").try_cast("double"))
-    marked = counts.join(conforming, ["column_name", "value"], "left").withColumn("x", x)
-    nx = F.when(F.col("x").isNotNull(), F.col("n"))
+    marked = counts.join(conforming, ["column_name", "value"], "left")
     agg = marked.groupBy("column_name", load).agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
         F.count("value").alias("n_distinct"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        F.sum(F.col("x") * F.col("n")).alias("sx"),
-        F.sum(F.col("x") * F.col("x") * F.col("n")).alias("sxx"),
-        F.sum(nx).alias("nx"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull() & F.col("conforms").isNull(), F.col("n"))), F.lit(0)).alias("n_nonconforming"),
     )
-    mean = F.col("sx") / F.col("nx")
-    var = F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * mean) / F.nullif(F.col("nx") - 1, F.lit(0))
-    return agg.select(
-        "column_name", load, "n_rows", "n_null", "n_distinct", "min_value", "max_value", mean.alias("mean"), F.sqrt(var).alias("sd"), "n_nonconforming"
-    )
+    # moments straight from the rows: Spark merges centred moments, so large means cancel nothing
+    kinds = dict(df.dtypes)
+    aggs, cells = [], []
+    for i, c in enumerate(numeric):
+        v = known(F.col(c), kinds[c]).cast("double")
+        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")))
+    if not numeric:
+        none = [F.lit(None).cast("double").alias(n) for n in ("min_value", "max_value", "mean", "sd")]
+        return agg.select("column_name", load, "n_rows", "n_null", "n_distinct", *none, "n_nonconforming")
+    moments = df.groupBy(load).agg(*aggs).select(F.col(load).alias("__load"), F.inline(F.array(*cells)))
+    moments = moments.withColumnRenamed("column_name", "__column")
+    on = (F.col("column_name") == F.col("__column")) & F.col(load).eqNullSafe(F.col("__load"))
+    return agg.join(moments, on, "left").select("column_name", load, "n_rows", "n_null", "n_distinct", "min_value", "max_value", "mean", "sd", "n_nonconforming")

@@ -204,6 +204,77 @@ def _p3_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _p3_long(t: str) -> str:
+    """The cells of a table's columns as text: column_name, value, with the row's study, load and time."""
+    columns = [c for group in LOADED[t] for c in group]
+    names, values = ", ".join(f"'{c}'" for c in columns), ", ".join(f"{c}::VARCHAR" for c in columns)
+    return f"SELECT study_id, load_id, loaded_at, unnest([{names}]) AS column_name, unnest([{values}]) AS value FROM {t}"
+
+
+def _nested(start: str, pattern) -> str:
+    for i, (_, java, _, name) in enumerate(profile.CLASSES):
+        start = pattern(start, f"chr({0xE001 + i})", java, name)
+    return start
+
+
+def _p3_induced(t: str) -> str:
+    """CTEs that end in ``picked``: every distinct value of each column with the expression that was chosen for it."""
+    exact = _nested("value", lambda x, symbol, java, _: f"regexp_replace({x}, '{java}', {symbol}, 'g')")
+    runs = _nested("exact", lambda x, symbol, *_: f"regexp_replace({x}, {symbol} || '+', {symbol}, 'g')")
+    count = lambda text, i: f"(length({text}) - length(replace({text}, chr({0xE001 + i}), '')))"
+    coded = " + ".join(f"{count('exact', i)} * {c[2]}" for i, c in enumerate(profile.CLASSES))
+    lengths = " + ".join(count("runs", i) for i in range(len(profile.CLASSES)))
+    escape = lambda x: rf"regexp_replace({x}, '([\\.\[\]{{}}()*+?^$|])', '\\\1', 'g')"
+    as_runs = _nested(escape("runs"), lambda x, symbol, _, name: f"replace({x}, {symbol}, '{name}+')")
+    as_lengths = _nested(escape("exact"), lambda x, symbol, _, name: f"replace({x}, {symbol}, '{name}')")
+    return f"""
+long AS ({_p3_long(t)}), c0 AS (SELECT column_name, value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT *, {exact} AS exact FROM c0), c2 AS (SELECT *, {runs} AS runs FROM c1),
+c3 AS (SELECT *, {coded} AS coded, length(value) * {profile.LITERAL_BITS} + {profile.LENGTH_BITS} AS lit,
+  length(runs) * {profile.CLASS_BITS} + {profile.LENGTH_BITS} AS written, ({lengths}) * {profile.LENGTH_BITS} AS lens FROM c2),
+e AS (SELECT column_name, runs, exact, sum(lit) AS l, max(written) + max(lens) + sum(coded) AS x, sum(coded) + sum(lens) AS u, max(written) AS w FROM c3 GROUP BY ALL),
+r AS (SELECT column_name, runs, sum(least(l, x)) AS finer, max(w) + sum(u) AS coarse FROM e GROUP BY ALL),
+picked AS (
+  SELECT *, CASE level WHEN 'runs' THEN {as_runs} WHEN 'lengths' THEN {as_lengths} ELSE {escape('value')} END AS expression,
+    level || ' ' || CASE level WHEN 'runs' THEN runs WHEN 'lengths' THEN exact ELSE value END AS key FROM (
+    SELECT c3.*, CASE WHEN coarse <= finer THEN 'runs' WHEN l <= x THEN 'literal' ELSE 'lengths' END AS level,
+      CASE WHEN coarse <= finer THEN coarse WHEN l <= x THEN lit ELSE x END / 100 AS bits
+    FROM c3 JOIN e USING (column_name, runs, exact) JOIN r USING (column_name, runs)))"""
+
+
+def _p3_expressions(t: str) -> str:
+    return f"""SELECT * FROM (WITH {_p3_induced(t)} SELECT '{t}' AS table_name, column_name, level, any_value(expression) AS expression, count(*) AS n_values,
+      sum(n)::BIGINT AS n_rows, any_value(bits) AS bits FROM picked GROUP BY column_name, level, key)"""
+
+
+def _p3_profile(t: str) -> str:
+    numeric = ", ".join(f"'{c}'" for c in LOADED[t][0])
+    number = f"CASE WHEN column_name IN ({numeric}) THEN value::DOUBLE END"
+    return f"""SELECT * FROM (WITH {_p3_induced(t)},
+      whole AS (SELECT column_name, sum(n) AS all_n FROM c0 GROUP BY 1),
+      held AS (SELECT column_name, key FROM picked JOIN whole USING (column_name) GROUP BY column_name, key, all_n HAVING sum(n) >= {profile.MIN_SHARE}::DOUBLE * all_n),
+      good AS (SELECT column_name, value, true AS conforms FROM picked SEMI JOIN held USING (column_name, key))
+      SELECT '{t}' AS table_name, column_name, load_id, count(*) AS n_rows, count(*) - count(value) AS n_null, count(DISTINCT value) AS n_distinct,
+        min({number}) AS min_value, max({number}) AS max_value, avg({number}) AS mean, stddev_samp({number}) AS sd,
+        count(value) FILTER (conforms IS NULL) AS n_nonconforming
+      FROM long LEFT JOIN good USING (column_name, value) GROUP BY column_name, load_id)"""
+
+
+def _p3_coverage(t: str) -> str:
+    return f"""SELECT * FROM (WITH {_p3_induced(t)}, first AS (SELECT study_id, arg_min(load_id, (loaded_at, load_id)) AS first_id FROM {t} GROUP BY 1),
+      k AS (SELECT study_id, load_id, column_name, key, count(*) AS n FROM long JOIN picked USING (column_name, value) GROUP BY ALL),
+      share AS (SELECT *, n / sum(n) OVER (PARTITION BY study_id, load_id, column_name) AS share FROM k),
+      base AS (SELECT study_id, column_name, key, share FROM share JOIN first USING (study_id) WHERE load_id = first_id),
+      later AS (SELECT share.* FROM share JOIN first USING (study_id) WHERE load_id <> first_id),
+      pairs AS (SELECT DISTINCT l.study_id, l.load_id, l.column_name, b.key FROM later l JOIN base b USING (study_id, column_name)
+        UNION SELECT study_id, load_id, column_name, key FROM later SEMI JOIN base USING (study_id, column_name)),
+      off AS (SELECT load_id, column_name, key, abs(coalesce(l.share, 0) - coalesce(b.share, 0)) AS change
+        FROM pairs LEFT JOIN later l USING (study_id, load_id, column_name, key) LEFT JOIN base b USING (study_id, column_name, key))
+      SELECT '{t}' AS table_name, column_name, load_id, min(expression) AS form_expression, max(change) AS change FROM (
+        SELECT *, max(change) OVER (PARTITION BY load_id, column_name) AS top FROM off) JOIN (SELECT DISTINCT column_name, key, expression FROM picked) USING (column_name, key)
+      WHERE change = top GROUP BY column_name, load_id)"""
+
+
 _CELLS = """
 lists AS (
   SELECT case_id, list_name, CASE json_type(l) WHEN 'OBJECT' THEN json_array(l) WHEN 'ARRAY' THEN l END AS l FROM (
@@ -248,6 +319,9 @@ def _p7_typed(layout: str, columns: list[tuple[str, str]]) -> str:
 
 SQL: dict[str, str] = {
     "p3_found": _p3_sql(),
+    "p3_profile": " UNION ALL ".join(map(_p3_profile, LOADED)),
+    "p3_coverage": " UNION ALL ".join(map(_p3_coverage, LOADED)),
+    "p3_expressions": " UNION ALL ".join(map(_p3_expressions, LOADED)),
     "p4_found": f"WITH {_REFS} SELECT * FROM orphans WHERE status IS NOT NULL",
     "p4_report": f"WITH {_REFS} SELECT ref_table, ref_month, status, count(*) AS n_orphans FROM orphans WHERE status IS NOT NULL GROUP BY ALL",
     "p7_found": _P7,

@@ -95,3 +95,20 @@ def test_coverage_changes(spark):
     got = {(r.column_name, r.load): (r.form_expression, r.change) for r in profile.coverage_changes(df, study="study", load="load", at="at", columns=["k", "x"]).collect()}
     assert got["k", 2][1] == pytest.approx(0.75) and got["x", 2][1] == 0.0 and ("k", 3) not in got and ("k", 1) not in got
     assert profile.coverage_changes(df.limit(0), study="study", load="load", at="at", columns=["k"]).count() == 0
+
+
+def test_foreign_categories_come_from_the_expressions(spark, monkeypatch):
+    """Without expressions every category is foreign; with them the unknown ones are, whatever level matches."""
+    codes = [f"P{i:03d}" for i in range(40)]
+    rows = load(9, 0, [1.0] * 40, codes) + load(1, 1, [1.0] * 40, codes) + load(2, 2, [1.0] * 40, [*codes[:39], "P999"]) + load(3, 3, [1.0] * 40, [*codes[:39], "p-1"])
+    assert breaks(spark, rows) == {("k", 2, "foreign"), ("k", 3, "foreign")}
+    real = profile.induce_expressions
+    monkeypatch.setattr(profile, "induce_expressions", lambda *a: real(*a).where("false"))
+    assert {("k", i, "foreign") for i in (1, 2, 3)} <= breaks(spark, rows)
+
+
+def test_moments_do_not_cancel_and_small_numbers_have_no_exponent(spark):
+    df = spark.createDataFrame([(1, 1e9 + x) for x in (0.0, 1.0, 2.0)] + [(2, 0.0004), (2, 25000000.0)], "load bigint, x double")
+    got = {r.load: r for r in profile.profile_loads(df, load="load", numeric=["x"], categorical=[]).collect()}
+    assert got[1].sd == pytest.approx(1.0) and got[2].n_distinct == 2
+    assert {r.value for r in profile.value_counts(df, [], ["x"]).collect()} == {"0.0004", "25000000.0", "1000000000.0", "1000000001.0", "1000000002.0"}
