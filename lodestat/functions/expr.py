@@ -29,15 +29,22 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def strict_number(c: Column, blank_missing: bool = False) -> Column:
-    """Text as a finite number; null stays null and malformed text is an error.
+def number_or_problem(c: Column, blank_missing: bool = False) -> Column:
+    """Text as struct<value, problem>: a finite number, or what is wrong with it.
 
-    Blank text is malformed unless ``blank_missing``.
+    Null is neither.  Blank text is malformed unless ``blank_missing``; numbers beyond a double are not finite.
     """
     text = blank_to_null(c) if blank_missing else c
-    return F.when(text.isNull(), F.lit(None).cast("double")).when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double")).otherwise(
-        F.raise_error(F.concat(F.lit("malformed number: "), text)).cast("double")
-    )
+    value = F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
+    whole = F.when(F.abs(value) < F.lit(float("inf")), value)
+    problem = F.when(text.isNotNull() & value.isNull(), "malformed number").when(value.isNotNull() & whole.isNull(), "not finite")
+    return F.struct(whole.alias("value"), problem.alias("problem"))
+
+
+def strict_number(c: Column, blank_missing: bool = False) -> Column:
+    """Text as a finite number; null stays null and what ``number_or_problem`` reports is an error."""
+    parsed = number_or_problem(c, blank_missing)
+    return F.when(parsed["problem"].isNull(), parsed["value"]).otherwise(F.raise_error(F.concat(parsed["problem"], F.lit(": "), c)).cast("double"))
 
 
 def finite(c: Column) -> Column:
@@ -50,13 +57,22 @@ def is_close(a: Column, b: Column, rtol: float, atol: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(rtol) * F.greatest(F.abs(a), F.abs(b)), F.lit(atol))
 
 
+#: Digits after the point that rounding by a column knows; others are left as they are.
+DIGITS = range(-6, 16)
+
+
 def round_half_up(c: Column, digits: Column | int) -> Column:
-    """Decimal rounding of the printed value, halves away from zero; ``digits`` may be a column."""
+    """Decimal rounding of the printed value, halves away from zero; ``digits`` may be a column.
+
+    Null digits leave the value as it is.  The shortest printed form decides, so 2.675 rounds to 2.68 though the double lies below.
+    """
+    printed = c.cast("string").try_cast("decimal(38,16)")
     if isinstance(digits, int):
-        return F.round(c, digits)
-    scale = F.pow(F.lit(10.0), digits)
-    # the printed form decides: scaling can fall just below a half, so a relative hair is added
-    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5 + F.abs(c) * scale * 1e-12) / scale
+        return F.coalesce(F.round(printed, digits).cast("double"), F.round(c, digits))
+    out = F.when(digits.isNull() | printed.isNull(), c)
+    for d in DIGITS:
+        out = out.when(digits == d, F.round(printed, d).cast("double"))
+    return out.otherwise(c)
 
 
 def spline_term(c: Column, a: float, b: float, d: float) -> Column:

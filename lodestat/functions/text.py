@@ -192,9 +192,9 @@ def printed_df(c: Column) -> Column:
 
 
 def mask_numbers(c: Column) -> Column:
-    """Numerals and number words as ``[quantity]``."""
-    words = "|".join([*WORDS, *TENS])
-    return F.regexp_replace(F.regexp_replace(c, NUMBER, "[quantity]"), rf"(?i)\b(?:{words})\b", "[quantity]")
+    """All digits with their decimals, wherever they stand, and number words as ``[quantity]``."""
+    words = "|".join([*WORDS, *TENS, "hundred", "thousand"])
+    return F.regexp_replace(F.regexp_replace(c, r"\d+(?:\.\d+)?", "[quantity]"), rf"(?i)\b(?:{words})\b", "[quantity]")
 
 
 def design_markers(c: Column) -> Column:
@@ -297,13 +297,28 @@ def scrub(text: str, values: list[str], mark: str = "[withheld]") -> str:
     return text
 
 
-# Words of designs, by design.
-DESIGNS = {"paired": r"\b(?:paired|within|repeated|pre.?post)\b", "correlation": r"\b(?:correlat|association|regress)", "two_group": r"\b(?:between|two.?group|independent|random(?:ly|ized|ised) assigned|versus|vs\.?)\b"}
+# What names a design, and what leaves it open.
+OPEN_DESIGN = r"anova|interaction|mixed|cluster|multilevel|factorial"
+PAIRED_TEST = r"paired[- ]?\s*t[- ]?\s*test|matched[- ]pairs?\s*t"
+PAIRED_OTHER = r"paired|within[- ]subject|repeated[- ]measures|matched[- ]pairs"
+TWO_GROUPS = r"\b(?:two[- ]sample|independent[- ]samples?|between[- ]subjects?|welch|student'?s? t)\b|\bt[- ]?test\b"
+CORRELATED = r"\bcorrelat|\bpearson\b|\bspearman\b|\bsimple (?:linear )?regression\b"
+LINEAR = r"\bols\b|\blinear (?:model|regression)\b|\blm\b"
 
 
-def design_of(c: Column) -> Column:
-    """The design that a method text names, the first of paired, correlation and two_group; else null."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(DESIGNS.items()):
-        out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
-    return out
+def design_of(model: Column, n_predictors: Column, n_covariates: Column, formula: Column | None = None) -> Column:
+    """The design that a model's text names, of ``paired``, ``two_group`` and ``correlation``; null if none of them is certain.
+
+    Analyses of variance, interactions, mixed, clustered and factorial models, pairs without a t test, and groups with covariates have none.
+    Null counts are none.
+    """
+    text = F.lower(F.concat_ws(" ", model, *([formula] if formula is not None else [])))
+    predictors, covariates = F.coalesce(n_predictors, F.lit(0)), F.coalesce(n_covariates, F.lit(0))
+    return (
+        F.when((F.trim(text) == "") | text.rlike(OPEN_DESIGN), None)
+        .when(text.rlike(PAIRED_TEST), "paired")
+        .when(text.rlike(PAIRED_OTHER), None)
+        .when(text.rlike(TWO_GROUPS), F.when(covariates == 0, "two_group"))
+        .when(text.rlike(CORRELATED) & (predictors <= 1) & (covariates == 0), "correlation")
+        .when(text.rlike(LINEAR) & (predictors == 1) & (covariates == 0), "correlation")
+    )

@@ -10,51 +10,54 @@ from pyspark.sql import functions as F
 from lodestat.functions.expr import is_close, round_half_up
 from lodestat.session import cut
 
-# Kinds without a sign, and significance limits.
+# Kinds without a sign, kinds compared on logs, significance limits, bands, and the limits near zero.
 UNSIGNED = ("sd", "n", "F", "chi2", "p_value", "se", "eta2", "percent")
-CUTS = (0.05, 0.01, 0.001)
 LOG_KINDS = ("OR", "HR")
+CUTS = (0.05, 0.01, 0.001)
+BANDS = ((0.02, "A"), (0.20, "B"), (0.40, "C"))
+SMALL, SMALL_OFF = 0.001, 0.002
 
 
 def grade(kind: Column, reported: Column, replicated: Column, precision: Column, comparator: Column) -> Column:
-    """The band of a replicated value: A, B, C, fail, unknown, or null where nothing was reported.
+    """The band of a replicated value: A, B, C or fail; null where nothing was reported.
 
-    In order: a comparator's bound, p values by rounding and limits, sample sizes, the sign, ratios on logs, then
-    relative bands of 2, 20 and 40 per cent, absolute ones near zero.
+    A missing replicated value fails.  Then, the first that applies: a comparator's bound, taken literally; p values; sample
+    sizes, exact or within one per cent; opposite signs, which fail (zero has none); ratios, on logs and positive only; the
+    relative bands.  Sample sizes, ratios and bands see the replicated value rounded as the reported one was printed.
     """
-    r, v = reported, replicated
-    shown = round_half_up(v, precision)
-    bound = (
-        F.when(comparator == "<", v < r).when(comparator == "<=", v <= r).when(comparator == ">", v > r).when(comparator == ">=", v >= r)
-    )
-    rel = F.abs(v - r) / F.abs(r)
-    same_side = F.lit(True)
-    for c in CUTS:
-        same_side = same_side & ((v < c) == (r < c))
-    both_tiny = (v < 0.001) & (r < 0.001)
-    p_ok = same_side & (both_tiny | (rel < 0.5))
-    p_band = F.when(is_close(shown, r, 1e-9, 1e-12), "A").when(p_ok & (both_tiny | (rel < 0.02)), "A").when(p_ok, "B").otherwise("fail")
-    n_band = F.when(v == r, "A").when(rel <= 0.01, "B").otherwise("fail")
-    signed = ~kind.isin(*UNSIGNED) & (F.abs(r) >= 0.001)
-    log_rel = F.abs(F.ln(v) - F.ln(r)) / F.abs(F.ln(r))
-    ratio_band = F.when((r <= 0) | (v <= 0), "fail").otherwise(_bands(F.when(F.ln(r) == 0, F.abs(F.ln(v))).otherwise(log_rel)))
-    near_zero = F.when(F.abs(shown - r) < 0.002, "A").otherwise("fail")
+    r, v, shown = reported, replicated, round_half_up(replicated, precision)
+    met = F.when(comparator == "<", v < r).when(comparator == "<=", v <= r).when(comparator == ">", v > r).when(comparator == ">=", v >= r)
+    opposite = ~F.coalesce(kind.isin(*UNSIGNED), F.lit(False)) & (F.abs(r) >= SMALL) & (v != 0) & ((v > 0) != (r > 0))
+    ratio = F.when((shown <= 0) | (r <= 0), "fail").otherwise(_band(F.ln(r), F.ln(shown)))
     return (
-        F.when(v.isNull() & r.isNotNull(), "fail")
-        .when(r.isNull() | v.isNull(), None)
-        .when(comparator.isin("<", "<=", ">", ">="), F.when(bound, "A").otherwise("fail"))
-        .when(kind == "p_value", p_band)
-        .when(kind == "n", n_band)
-        .when(signed & (v == 0), "unknown")
-        .when(signed & (F.signum(v) != F.signum(r)), "fail")
-        .when(kind.isin(*LOG_KINDS), ratio_band)
-        .when(F.abs(r) < 0.001, near_zero)
-        .otherwise(_bands(F.abs(shown - r) / F.abs(r)))
-    )
+        F.when(v.isNull(), "fail")
+        .when(r.isNull(), None)
+        .when(met, "A").when(~met, "fail")
+        .when(kind == "p_value", F.when(precision.isNotNull() & (shown == r), "A").otherwise(_p_band(r, v)))
+        .when(kind == "n", F.when(shown == r, "A").when((r != 0) & (F.abs(shown - r) / F.abs(r) <= 0.01), "B").otherwise("fail"))
+        .when(opposite, "fail")
+        .when(kind.isin(*LOG_KINDS), ratio)
+        .otherwise(_band(r, shown))
+    )
+
+
+def _p_band(r: Column, v: Column) -> Column:
+    """p values: on the same side of every limit, and both tiny (A) or within 2 (A) or 50 per cent (B)."""
+    together = F.lit(True)
+    for c in CUTS:
+        together = together & ((v < c) == (r < c))
+    tiny, off = (v < 0.001) & (r < 0.001), F.when(r != 0, F.abs(v - r) / F.abs(r))
+    close = lambda limit: tiny | F.coalesce(off < limit, F.lit(False))
+    return F.when(together & close(0.02), "A").when(together & close(0.5), "B").otherwise("fail")
 
 
-def _bands(rel: Column) -> Column:
-    return F.when(rel < 0.02, "A").when(rel < 0.20, "B").when(rel < 0.40, "C").otherwise("fail")
+def _band(r: Column, v: Column) -> Column:
+    """The relative band, or the absolute rule near zero."""
+    off = F.abs(v - r) / F.nullif(F.abs(r), F.lit(0.0))
+    out = F.when(F.abs(r) < SMALL, F.when(F.abs(v - r) < SMALL_OFF, "A").otherwise("fail"))
+    for edge, band in BANDS:
+        out = out.when(off < edge, band)
+    return out.otherwise("fail")
 
 
 def exact_at_precision(reported: Column, replicated: Column, precision: Column) -> Column:
@@ -62,11 +65,31 @@ def exact_at_precision(reported: Column, replicated: Column, precision: Column)
     return is_close(round_half_up(reported, precision), round_half_up(replicated, precision), 1e-9, 1e-12)
 
 
-def rounding_compatible(reported: Column, replicated: Column, precision: Column, comparator: Column) -> Column:
-    """Whether a bound holds within half a unit of the printed precision; not for significance limits."""
+def rounding_compatible(kind: Column, reported: Column, replicated: Column, precision: Column, comparator: Column) -> Column:
+    """Whether a bound that does not hold as printed would hold within half a unit of its precision; it never changes the grade.
+
+    Null where nothing is to explain: no bound, a bound that holds, unknown precision, or a p value against a significance limit.
+    """
     half = F.pow(F.lit(10.0), -precision) / 2
-    ok = F.when(comparator.isin("<", "<="), replicated < reported + half).when(comparator.isin(">", ">="), replicated > reported - half)
-    return F.when(reported.isin(*CUTS), False).otherwise(ok)
+    met = F.when(comparator == "<", replicated < reported).when(comparator == "<=", replicated <= reported).when(comparator == ">", replicated > reported).when(comparator == ">=", replicated >= reported)
+    near = (
+        F.when(comparator == "<", replicated < reported + half).when(comparator == "<=", replicated <= reported + half)
+        .when(comparator == ">", replicated > reported - half).when(comparator == ">=", replicated >= reported - half)
+    )
+    limit = F.coalesce((kind == "p_value") & reported.isin(*CUTS), F.lit(False))
+    return F.when(~met & precision.isNotNull() & ~limit, near)
+
+
+def unit_candidates(replicated: Column) -> Column:
+    """Other units a replicated value might be in, as array<struct<value, note>>; they are listed, never applied."""
+    listed = ((replicated * 100, "times 100"), (replicated / 100, "divided by 100"), (F.lit(0.0) - replicated, "sign turned"))
+    return F.when(replicated.isNotNull(), F.array(*[F.struct(v.alias("value"), F.lit(n).alias("note")) for v, n in listed]))
+
+
+def sigma_rule(reported: Column, replicated: Column, se: Column) -> Column:
+    """``within`` or ``outside`` two standard errors; ``na`` without one."""
+    off = F.abs(replicated - reported) / F.nullif(se, F.lit(0.0))
+    return F.coalesce(F.when(off <= 2, "within").when(off > 2, "outside"), F.lit("na"))
 
 
 def std_difference(reported: Column, replicated: Column, se: Column) -> Column:

@@ -40,24 +40,26 @@ def spec_grid(spark: SparkSession, factors: dict[str, list[str]], incompatible:
     return grid.withColumn("position", number).select(F.format_string("spec_%03d", "position").alias("spec_id"), F.col("position").cast("bigint").alias("position"), *factors)
 
 
-def sample_specs(specs: list[dict[str, str]], cap: int, first: str | None = None) -> list[str]:
-    """At most ``cap`` ids: the paper's own, then one for each level not yet covered, then more, in the order of the grid.
+def sample_specs(specs: list[dict[str, str]], cap: int, paper_id: str | None, first: str | None = None) -> list[str]:
+    """At most ``cap`` ids in the order of the grid: the paper's own (``first``) if it is among them, then one for each level that none has yet, then more.
 
-    The order of choice is shuffled by a seed from each id's digest, so it depends on the ids alone.
+    All come from one order of the whole grid, shuffled by a seed from the paper's id, so a paper always runs the same ones.
+    Levels are compared without case and outer blanks.
     """
-    if len(specs) <= cap:
-        return [s["spec_id"] for s in specs]
-    paper = next((s for s in specs if s["spec_id"] == first), specs[0])
-    pool = sorted((s for s in specs if s is not paper), key=lambda s: s["spec_id"])
-    random.Random(int(hashlib.sha256(paper["spec_id"].encode()).hexdigest()[:16], 16)).shuffle(pool)
-    chosen = [paper]
-    for f in (k for k in specs[0] if k not in ("spec_id", "position")):
-        for level in dict.fromkeys(s[f] for s in specs):
-            if len(chosen) < cap and all(s[f] != level for s in chosen):
-                chosen.append(next(s for s in pool if s[f] == level and s not in chosen))
-    chosen += [s for s in pool if s not in chosen][: cap - len(chosen)]
-    ids = {s["spec_id"] for s in chosen}
-    return [s["spec_id"] for s in specs if s["spec_id"] in ids]
+    ids = [s["spec_id"] for s in specs]
+    if len(ids) <= cap:
+        return ids
+    order = ids.copy()
+    random.Random(int(hashlib.sha256((paper_id or "").encode()).hexdigest()[:16], 16)).shuffle(order)
+    level_of = {s["spec_id"]: {k: str(v).strip().lower() for k, v in s.items() if k not in ("spec_id", "position")} for s in specs}
+    chosen = [first] if first in level_of and cap > 0 else []
+    for factor in level_of[ids[0]]:
+        for level in dict.fromkeys(level_of[i][factor] for i in ids):
+            if len(chosen) < cap and all(level_of[c][factor] != level for c in chosen):
+                chosen += [i for i in order if level_of[i][factor] == level][:1]
+    rest = [i for i in order if i not in set(chosen)]
+    taken = {*chosen, *rest[: cap - len(chosen)]}
+    return [i for i in ids if i in taken]
 
 
 def active_dimensions(specs: DataFrame, factors: list[str]) -> DataFrame:

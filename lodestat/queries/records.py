@@ -186,10 +186,14 @@ def within_budget(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(records.within_budget(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 200.0).select("event_id", "before", "fits"), 4)
 
 
-@query("""SELECT record_id, CASE WHEN regexp_matches(lower(model_type), '\\b(?:paired|within|repeated|pre.?post)\\b') THEN 'paired' WHEN regexp_matches(lower(model_type), '\\b(?:correlat|association|regress)') THEN 'correlation'
-WHEN regexp_matches(lower(model_type), '\\b(?:between|two.?group|independent|versus|vs\\.?)\\b') THEN 'two_group' END AS design FROM (SELECT DISTINCT record_id, model_type FROM contracts)""")
+@query("""SELECT DISTINCT record_id, CASE WHEN model_type IS NULL OR trim(model_type) = '' THEN NULL WHEN model_type IN ('paired t test') THEN 'paired' WHEN model_type = 'independent-samples t test' THEN CASE WHEN nc = 0 THEN 'two_group' END
+WHEN model_type = 'correlation' THEN CASE WHEN np <= 1 AND nc = 0 THEN 'correlation' END WHEN model_type = 'linear regression' THEN CASE WHEN np = 1 AND nc = 0 THEN 'correlation' END END AS design
+FROM (SELECT record_id, model_type, coalesce(len(predictors), 0) AS np, coalesce(len(covariates), 0) AS nc FROM contracts)""")
 def designs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "contracts").select("record_id", "model_type").distinct().select("record_id", T.design_of(F.col("model_type")).alias("design"))
+    """The design of every contract by its model and the number of its predictors and covariates."""
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    c = table(spark, sf, "contracts").select("record_id", T.design_of(F.col("model_type"), size("predictors"), size("covariates")).alias("design"))
+    return c.distinct()
 
 
 @query()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import text as T
 from lodestat.functions.distributions import chi2_upper, norm_cdf, t_tail, t_two_sided
-from lodestat.functions.expr import age_seconds, blank_to_null, digest, is_close, json_leaves, rounded, round_half_up, seed_of, spline_term, strict_number
+from lodestat.functions.expr import age_seconds, blank_to_null, digest, is_close, json_leaves, number_or_problem, rounded, round_half_up, seed_of, spline_term
 from lodestat.operators import evidence, integrity, ranked, readouts, reconcile, resample, sample, sequence, specspace, tstats
 from lodestat.operators.sample import Predicate
 from lodestat.plans.recipe import DirectPlan, Recipe, run_direct
@@ -140,12 +140,12 @@ def complete_cases(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("study_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT line_id, CASE WHEN nullif(trim(v), '') IS NULL THEN NULL ELSE trim(v)::DOUBLE END AS age FROM (
-  SELECT line_id, string_split(raw_line, ',')[3] AS v FROM raw_study_lines WHERE layout = 'study1') WHERE v IS NOT NULL AND (trim(v) = '' OR regexp_full_match(trim(v), '[+-]?[0-9]+'))""")
+@query("""SELECT line_id, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN t::DOUBLE END AS age,
+CASE WHEN t <> '' AND NOT regexp_full_match(t, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'malformed number' END AS problem
+FROM (SELECT line_id, trim(string_split(raw_line, ',')[3], ' ') AS t FROM raw_study_lines WHERE layout = 'study1')""")
 def strict_parse(spark: SparkSession, sf: str) -> DataFrame:
     cells = table(spark, sf, "raw_study_lines").where("layout = 'study1'").select("line_id", F.try_element_at(F.split("raw_line", ","), F.lit(3)).alias("v"))
-    clean = cells.where(F.col("v").isNotNull() & (F.trim("v").rlike("^[+-]?[0-9]+$") | (F.trim("v") == "")))
-    return clean.select("line_id", strict_number(F.col("v"), blank_missing=True).alias("age"))
+    return cells.select("line_id", number_or_problem(F.col("v"), blank_missing=True).alias("p")).select("line_id", F.col("p.value").alias("age"), "p.problem")
 
 
 @query("""SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)
@@ -464,15 +464,15 @@ def rule_problems(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.rule_problems(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), rules).select("o_orderkey", "problems")
 
 
-@query("SELECT 'x' AS l_returnflag, 'x' AS problem WHERE false")
+@query("""SELECT l_suppkey, CASE WHEN b.m IS NULL THEN 'only_left' ELSE 'differs' END AS problem FROM (SELECT l_suppkey, avg(l_discount - l_tax) AS m FROM lineitem GROUP BY 1) a
+LEFT JOIN (SELECT l_suppkey, avg(l_discount - l_tax) AS m FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b USING (l_suppkey)
+WHERE b.m IS NULL OR abs(a.m - b.m) > greatest(1e-4 * greatest(abs(a.m), abs(b.m)), 1e-6)""")
 def formulations_agree(spark: SparkSession, sf: str) -> DataFrame:
+    """A test's means against those of another formulation, over all lines and over the open ones: what differs is reported."""
     t = table(spark, sf, "lineitem")
-    one = tstats.paired_t(t, "l_discount", "l_tax", ["l_returnflag"]).select("l_returnflag", "mean_diff", "t")
-    t.createOrReplaceTempView("__lines")
-    two = spark.sql(
-        "SELECT l_returnflag, avg(l_discount - l_tax) AS mean_diff, avg(l_discount - l_tax) / (stddev(l_discount - l_tax) / sqrt(count(*))) AS t FROM __lines GROUP BY 1"
-    )
-    return integrity.compare_results(one, two, ["l_returnflag"], ["mean_diff", "t"]).select("l_returnflag", "problem")
+    one = tstats.paired_t(t, "l_discount", "l_tax", ["l_suppkey"]).select("l_suppkey", "mean_diff")
+    two = t.where("l_linestatus = 'O'").groupBy("l_suppkey").agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("mean_diff"))
+    return integrity.compare_results(one, two, ["l_suppkey"], ["mean_diff"], 1e-4, 1e-6).select("l_suppkey", "problem")
 
 
 @query()
@@ -494,10 +494,12 @@ def grid_specs(spark: SparkSession, sf: str) -> DataFrame:
     return specspace.spec_grid(spark, _FACTORS, [("trim=0.2", "test=wilcoxon"), ("test=sign_flip", "outliers=iqr")])
 
 
-@query("SELECT 36::BIGINT AS n_all, 26::BIGINT AS n_compatible")
+@query("""WITH g AS (SELECT * FROM (VALUES ('0'), ('0.1'), ('0.2')) a(trim), (VALUES ('t'), ('sign_flip'), ('wilcoxon')) b(test), (VALUES ('none'), ('iqr')) c(outliers), (VALUES ('.05'), ('.01')) d(alpha))
+SELECT count(*) AS n_all, count(*) FILTER (NOT (trim = '0.2' AND test = 'wilcoxon') AND NOT (test = 'sign_flip' AND outliers = 'iqr')) AS n_compatible FROM g""")
 def grid_count(spark: SparkSession, sf: str) -> DataFrame:
     n = specspace.spec_grid(spark, _FACTORS, [("trim=0.2", "test=wilcoxon"), ("test=sign_flip", "outliers=iqr")])
-    return n.agg(F.count("*").alias("n_compatible")).select(F.lit(36).cast("bigint").alias("n_all"), "n_compatible")
+    every = specspace.spec_grid(spark, _FACTORS).agg(F.count("*").alias("n_all"))
+    return every.crossJoin(n.agg(F.count("*").alias("n_compatible")))  # one row each
 
 
 @query("""SELECT factor, n_levels, n_levels > 1 AS active FROM (SELECT 'l_returnflag' AS factor, count(DISTINCT l_returnflag) AS n_levels FROM lineitem UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem)""")
@@ -561,13 +563,43 @@ def grade_bands(spark: SparkSession, sf: str) -> DataFrame:
     return j.where("v > 0 and r > 0").select("p_partkey", reconcile.grade(F.lit("mean"), F.col("r"), F.col("v"), F.lit(2), F.lit(None).cast("string")).alias("band"))
 
 
-@query("""SELECT claim_uid, CASE WHEN comparator = '<' THEN CASE WHEN value * 0.9 < value THEN 'A' ELSE 'fail' END
-WHEN value IS NULL THEN NULL WHEN quantity_kind = 'n' THEN CASE WHEN value * 0.995 = value THEN 'A' WHEN abs(value * 0.995 - value) / abs(value) <= 0.01 THEN 'B' ELSE 'fail' END END AS band
-FROM (SELECT DISTINCT claim_uid, quantity_kind, value, comparator FROM claims WHERE quantity_kind = 'n' OR comparator = '<')""")
+#: Replicated values that try every rule of the grades, by the last digit of the claim.
+_REPLICATED = ("NULL", "0.0", "-value", "value * 1.01", "value + 0.4", "value", "value * 1.3", "value * 0.85", "value * 1.6", "value + 0.004")
+_REPLICATED_SQL = "CASE claim_uid % 10 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_REPLICATED)) + " END"
+_AT = lambda x: " ".join(f"WHEN {d} THEN round({x}::VARCHAR::DECIMAL(38,16), {d})::DOUBLE" for d in range(5))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT claim_uid, quantity_kind, value AS r, comparator AS cmp, precision_digits AS p, {_REPLICATED_SQL} AS v FROM claims),
+k AS (SELECT *, unnest([quantity_kind, 'n', 'OR', 'p_value', 'percent']) AS kind, unnest([0, 1, 2, 3, 4]) AS form FROM c),
+s AS (SELECT *, CASE p {_AT('v')} ELSE v END AS s FROM k),
+o AS (SELECT *, abs(v - r) / nullif(abs(r), 0) AS pr, abs(s - r) / nullif(abs(r), 0) AS br, ln(CASE WHEN r > 0 THEN r END) AS lr, ln(CASE WHEN s > 0 THEN s END) AS ls,
+  (v < 0.05) = (r < 0.05) AND (v < 0.01) = (r < 0.01) AND (v < 0.001) = (r < 0.001) AS together, v < 0.001 AND r < 0.001 AS tiny FROM s)
+SELECT claim_uid, form::INTEGER AS form, CASE WHEN v IS NULL THEN 'fail' WHEN r IS NULL THEN NULL
+  WHEN cmp = '<' THEN CASE WHEN v < r THEN 'A' ELSE 'fail' END WHEN cmp = '>' THEN CASE WHEN v > r THEN 'A' ELSE 'fail' END
+  WHEN kind = 'p_value' THEN CASE WHEN p IS NOT NULL AND s = r THEN 'A' WHEN NOT together THEN 'fail' WHEN tiny OR pr < 0.02 THEN 'A' WHEN pr < 0.5 THEN 'B' ELSE 'fail' END
+  WHEN kind = 'n' THEN CASE WHEN s = r THEN 'A' WHEN br <= 0.01 THEN 'B' ELSE 'fail' END
+  WHEN coalesce(kind, 'other') NOT IN ('sd', 'n', 'F', 'chi2', 'p_value', 'se', 'eta2', 'percent') AND abs(r) >= 0.001 AND v <> 0 AND (v > 0) <> (r > 0) THEN 'fail'
+  WHEN kind = 'OR' THEN CASE WHEN s <= 0 OR r <= 0 THEN 'fail' WHEN abs(lr) < 0.001 THEN CASE WHEN abs(ls - lr) < 0.002 THEN 'A' ELSE 'fail' END
+    WHEN abs(ls - lr) / abs(lr) < 0.02 THEN 'A' WHEN abs(ls - lr) / abs(lr) < 0.2 THEN 'B' WHEN abs(ls - lr) / abs(lr) < 0.4 THEN 'C' ELSE 'fail' END
+  WHEN abs(r) < 0.001 THEN CASE WHEN abs(s - r) < 0.002 THEN 'A' ELSE 'fail' END
+  WHEN br < 0.02 THEN 'A' WHEN br < 0.2 THEN 'B' WHEN br < 0.4 THEN 'C' ELSE 'fail' END AS band FROM o""")
 def grade_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "claims").select("claim_uid", "quantity_kind", "value", "comparator", "precision_digits").distinct().where("quantity_kind = 'n' or comparator = '<'")
-    v = F.when(F.col("comparator") == "<", F.col("value") * 0.9).otherwise(F.col("value") * 0.995)
-    return c.select("claim_uid", reconcile.grade(F.col("quantity_kind"), F.col("value"), v, F.col("precision_digits"), F.col("comparator")).alias("band"))
+    """Every claim graded as its own kind and as four others, against a missing, zero, negated, near or far replicated value."""
+    c = table(spark, sf, "claims").select("claim_uid", "quantity_kind", "value", "comparator", "precision_digits", F.expr(_REPLICATED_SQL).alias("v")).distinct()
+    k = c.select("*", F.posexplode(F.array("quantity_kind", *map(F.lit, ("n", "OR", "p_value", "percent")))).alias("form", "kind"))
+    return k.select("claim_uid", "form", reconcile.grade(F.col("kind"), F.col("value"), F.col("v"), F.col("precision_digits"), F.col("comparator")).alias("band"))
+
+
+@query(f"""SELECT DISTINCT claim_uid, CASE WHEN v IS NULL OR se = 0 OR se IS NULL THEN 'na' WHEN abs(v - value) / se <= 2 THEN 'within' ELSE 'outside' END AS sigma,
+  CASE WHEN comparator = '<' AND v >= value AND precision_digits IS NOT NULL AND NOT (quantity_kind = 'p_value' AND value IN (0.05, 0.01, 0.001)) THEN v < value + 0.5 * 10.0 ** (-precision_digits) END AS near,
+  CASE WHEN v IS NOT NULL THEN [round(v * 100, 6), round(v / 100, 6), round(0 - v, 6)] END AS other_units
+FROM (SELECT *, {_REPLICATED_SQL} AS v, try_cast(uncertainty['se'] AS DOUBLE) AS se FROM claims) WHERE value IS NOT NULL""")
+def grade_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes with a grade without changing it: the sigma rule, bounds that rounding explains, other units."""
+    c = table(spark, sf, "claims").where("value is not null").select("*", F.expr(_REPLICATED_SQL).alias("v"), F.try_element_at("uncertainty", F.lit("se")).try_cast("double").alias("se"))
+    near = reconcile.rounding_compatible(F.col("quantity_kind"), F.col("value"), F.col("v"), F.col("precision_digits"), F.col("comparator"))
+    units = F.transform(reconcile.unit_candidates(F.col("v")), lambda u: F.round(u["value"], 6))
+    return c.select("claim_uid", reconcile.sigma_rule(F.col("value"), F.col("v"), F.col("se")).alias("sigma"), near.alias("near"), units.alias("other_units")).distinct()
 
 
 @query("""SELECT n_nationkey, s.seg AS segment, c.total AS total, CASE WHEN c.n IS NOT NULL AND c.total IS NOT NULL THEN 'delivered' WHEN c.n IS NOT NULL THEN 'invalid' ELSE 'omitted' END AS disposition
@@ -764,9 +796,10 @@ def running_text(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "before")
 
 
-@query("""SELECT event_id, round(used, 4) AS used, used + value <= 300 AS accepted FROM (SELECT event_id, value, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM events)""")
+@query("""SELECT event_id, round(used, 4) AS used, used + value <= 300 AS accepted FROM (SELECT event_id, v AS value, coalesce(sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN 5.0 ELSE value END AS v FROM events))""")
 def budget_state(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.col("value").alias("cost"), F.lit(5.0).alias("reserved"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "click", F.col("value")).alias("cost"), F.lit(5.0).alias("reserved"))  # the cost of clicks stays unknown
     return rounded(sequence.budget_state(e, "user_id", ["ts", "event_id"], "cost", "reserved", 300.0).select("event_id", "used", "accepted"), 4)
 
 
@@ -793,10 +826,11 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT record_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 6) AS jaccard FROM (
-SELECT DISTINCT record_id, list_distinct(predictors) AS a, list_distinct(covariates) AS b FROM contracts WHERE predictors IS NOT NULL AND covariates IS NOT NULL AND NOT list_has_any([NULL IS NULL], [list_contains(list_transform(predictors, lambda x: x IS NULL), true) OR list_contains(list_transform(covariates, lambda x: x IS NULL), true)]))""")
+SELECT DISTINCT record_id, list_distinct(list_filter(predictors, lambda x: x IS NOT NULL)) AS a, list_distinct(list_filter(covariates, lambda x: x IS NOT NULL)) AS b FROM contracts)""")
 def set_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "contracts").where("predictors is not null and covariates is not null").where(~F.exists("predictors", lambda x: x.isNull()) & ~F.exists("covariates", lambda x: x.isNull()))
-    return rounded(c.select("record_id", F.array_distinct("predictors").alias("a"), F.array_distinct("covariates").alias("b")).distinct().select("record_id", T.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
+    """Null elements are none; a null list gives no value."""
+    c = table(spark, sf, "contracts").select("record_id", *[F.array_distinct(F.array_compact(c)).alias(n) for c, n in (("predictors", "a"), ("covariates", "b"))]).distinct()
+    return rounded(c.select("record_id", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), T.jaccard(F.col("a"), F.col("b"))).alias("jaccard")))
 
 
 # Text and numbers.
@@ -836,11 +870,11 @@ def printed_df(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "claims").select("claim_uid", "source_quote").distinct().select("claim_uid", T.printed_df(F.col("source_quote")).alias("df"), T.mask_numbers(F.col("source_quote")).alias("masked"), T.design_markers(F.col("source_quote")).alias("markers"))
 
 
-@query("""SELECT DISTINCT claim_uid, round(value, precision_digits) AS shown FROM claims WHERE value IS NOT NULL AND precision_digits IS NOT NULL AND abs(value * 10 ** precision_digits - round(value * 10 ** precision_digits)) < 1e-6""")
+@query("SELECT DISTINCT claim_uid, digits, CASE digits WHEN 0 THEN round(d, 0)::DOUBLE WHEN 1 THEN round(d, 1)::DOUBLE WHEN 2 THEN round(d, 2)::DOUBLE ELSE round(d, 3)::DOUBLE END AS shown FROM (SELECT claim_uid, (value / 8)::VARCHAR::DECIMAL(38,16) AS d, unnest([0, 1, 2, 3]) AS digits FROM claims)")
 def half_up(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "claims").where("value is not null and precision_digits is not null").select("claim_uid", "value", "precision_digits").distinct()
-    scaled = F.col("value") * F.pow(F.lit(10.0), F.col("precision_digits"))
-    return c.where(F.abs(scaled - F.round(scaled)) < 1e-6).select("claim_uid", F.round(round_half_up(F.col("value"), F.col("precision_digits")), 6).alias("shown")).distinct()
+    """An eighth of every value, which has halves at all digits, rounded to none up to three decimals."""
+    c = table(spark, sf, "claims").select("claim_uid", (F.col("value") / 8).alias("v"), F.explode(F.array(*map(F.lit, range(4)))).alias("digits"))
+    return c.select("claim_uid", "digits", round_half_up(F.col("v"), F.col("digits")).alias("shown")).distinct()
 
 
 @query("SELECT paper_id, page_no AS page, count(*) AS n FROM (SELECT DISTINCT paper_id, location.page AS page_no, claim_uid FROM claims) WHERE page_no IS NOT NULL GROUP BY 1, 2")

@@ -104,7 +104,7 @@ def test_integrity(spark):
     [
         ("mean", 10.0, None, 1, None, "fail"), ("mean", None, 1.0, 1, None, None), ("p_value", 0.001, 0.0004, 3, "<", "A"), ("p_value", 0.001, 0.002, 3, "<", "fail"),
         ("p_value", 0.03, 0.0312, 2, None, "A"), ("p_value", 0.04, 0.03, 2, None, "B"), ("p_value", 0.04, 0.06, 2, None, "fail"), ("n", 100.0, 100.0, 0, None, "A"), ("n", 100.0, 101.0, 0, None, "B"),
-        ("n", 100.0, 105.0, 0, None, "fail"), ("t", 2.0, -2.0, 2, None, "fail"), ("t", 2.0, 0.0, 2, None, "unknown"), ("t", 2.0, 2.01, 2, None, "A"), ("t", 2.0, 2.3, 2, None, "B"), ("t", 2.0, 2.7, 2, None, "C"),
+        ("n", 100.0, 105.0, 0, None, "fail"), ("t", 2.0, -2.0, 2, None, "fail"), ("t", 2.0, 0.0, 2, None, "fail"), ("t", 2.0, 2.01, 2, None, "A"), ("t", 2.0, 2.3, 2, None, "B"), ("t", 2.0, 2.7, 2, None, "C"),
         ("t", 2.0, 3.0, 2, None, "fail"), ("d", 0.0, 0.001, 2, None, "A"), ("d", 0.0, 0.3, 2, None, "fail"), ("OR", 2.0, 2.02, 2, None, "A"), ("OR", 2.0, -1.0, 2, None, "fail"), ("sd", 2.0, 2.0, 2, None, "A"),
     ],
 )
@@ -143,8 +143,8 @@ def test_specification_space(spark):
     assert [tuple(r) for r in grid.orderBy("position").collect()][:4] == [("spec_001", 1, "1", "x"), ("spec_002", 2, "1", "y"), ("spec_003", 3, "1", "z"), ("spec_004", 4, "2", "x")]
     assert grid.count() == 5
     specs = [r.asDict() for r in grid.orderBy("position").collect()]
-    chosen = specspace.sample_specs(specs, 4)
-    assert chosen == specspace.sample_specs(specs, 4) and len(chosen) == 4 and {s["b"] for s in specs if s["spec_id"] in chosen} == {"x", "y", "z"}
+    chosen = specspace.sample_specs(specs, 4, "paper")
+    assert chosen == specspace.sample_specs(specs, 4, "paper") and len(chosen) == 4 and {s["b"] for s in specs if s["spec_id"] in chosen} == {"x", "y", "z"}
     with pytest.raises(ValueError):
         specspace.spec_grid(spark, {f"f{i}": ["a"] * 10 for i in range(6)})
     res = spark.createDataFrame([("1", "x", 1.0, 0.01), ("1", "y", 3.0, 0.2), ("2", "x", 1.5, 0.03)], "a string, b string, e double, p double")
