@@ -3,14 +3,15 @@
 A document is cut into blocks at blank lines; a block is a list of items or running text.  In
 running text every terminator is a node of a lattice, whose edges are decided from its neighbours:
 the word before it (abbreviation, initial, ordinal, label), open quotes and brackets, closing marks
-after it and the opening of what follows.  Thai is segmented at its gaps by a dictionary word
-lattice, and a gap is classified by the final particle before and the opening word after it.  After
-a closed quotation Chinese and Japanese are decided by prefixes from a fixed list, not by words.
+after it and the opening of what follows.  Scripts without spaces are segmented by dictionary word lattices
+(``words``), and each of their gaps - white space, or a closed quotation - is classified by the final particle or the
+open word before it and the opening or bound word after it.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodestat.llm import words
+
 # Abbreviations, labels, months and particles of the languages covered.
 
 #: Words before a full stop that never end a sentence.
@@ -49,23 +52,7 @@ LABELS = (
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jänner jan feb mär apr jun jul aug sep sept okt nov dez".split()
 )
-#: Thai: words that leave a sentence open, particles that end one, and words that only look like them.
-THAI_OPEN_LEFT = "และ หรือ แต่ ว่า ซึ่ง ของ จาก คือ เช่น ได้แก่ โดย กับ เพื่อ เพราะ ถ้า หาก เมื่อ".split()
-THAI_FINAL = "ๆ ฯลฯ ฯ ครับ ค่ะ คะ นะ ด้วย แล้ว".split()
-THAI_PLAIN = "กว่า คะแนน คณะ ชนะ ขณะ ลักษณะ แล้วจึง ด้วยเหตุ ต่างหาก วิธีการ ผล กลุ่ม ผู้ เรา นัก อายุ การ ความ ใน ที่ ไม่ มี ให้".split()
-#: Words with which a sentence goes on after a quotation, in Chinese and Japanese.
-QUOTE_GOES_ON = (
-    "と って という との とは とも など は が を に で の へ や も から まで より "
-    "才 就 便 又 也 再 并 而 但 地 的 之 这 等 来 一 主试 他 她 他们 她们 问 说 道 答 写 喊 回答 指出 问道 说道 参与者 研究者 受试者"
-).split()
-#: Of these, the ones that take up what was said even after a comma.
-_TAKES_UP = ("と", "って", "という", "との")
-#: Marks nested deeper than this are no nesting.
-MAX_DEPTH = 40
-_GOES_ON = tuple(sorted(QUOTE_GOES_ON, key=len, reverse=True))
-
 _SPACELESS = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3005\u3006\uff66-\uff9f]"
-_THAI = r"[\u0e00-\u0e7f]"
 _NOTES = r"(?:\[\d+(?:[,–-]\s?\d+)*\]|[¹²³⁰-⁹]+)"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "‘": "’"}
 _CLOSE = set(_OPEN.values())
@@ -83,74 +70,35 @@ _NOTE = regex.compile(_NOTES)
 _LOOSE = set("'”’»)]}」』】〉》）］")
 #: Lower-case openings that are no continuing prose: symbols in formulas and names like mTurk.
 _SYMBOL = regex.compile(r"\p{L}\s?[=<>≤≥]|\p{Ll}+\p{Lu}|\p{Ll} (?:values?|test|levels?)\b|[αβηωχ]\b")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}.\-’'ª]+$")
+#: The word, and the shorter word before it, that end where a match is asked for: both are read from the right.
+_WORD = regex.compile(r"(?r)[\p{L}\p{M}\p{N}.\-’'ª]+")
+_WORD_BEFORE = regex.compile(r"(?r)(?<!\S)(\S{1,16})\s*")
 _LABEL = regex.compile(rf"(?:{'|'.join(LABELS.split())})\.?(?:\s*(?:\d+(?:\.\d+)*|[A-Z]))?(?:[a-z]?)$", regex.I)
 _NEXT = regex.compile(r"\s*([\"'“„«¿¡(\[‘「『]*)\s?(\S?)")
 _DOTTED = regex.compile(r"\p{L}\.")
 _NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _GREEK = regex.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
-_HAS_THAI = regex.compile(_THAI)
-_THAI_GAP = regex.compile(rf"(?<={_THAI}[”\"')\]]?)\s+(?=[“\"'(]?{_THAI})")
 _RUN_ON = regex.compile(r"\p{Lu}\p{Ll}")
 _SPACELESS_CHAR = regex.compile(_SPACELESS)
 _HARD = set("。！？｡⁇‽")
 
 
-def lattice(text: str, words: frozenset[str], longest: int) -> list[str]:
-    """The cheapest segmentation of ``text``: a dictionary word costs 1, any other character 1.5."""
-    n = len(text)
-    cost, step = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        if cost[i] + 1.5 < cost[i + 1]:
-            cost[i + 1], step[i + 1] = cost[i] + 1.5, 1
-        for k in range(1, min(longest, n - i) + 1):
-            if text[i : i + k] in words and cost[i] + 1 < cost[i + k]:
-                cost[i + k], step[i + k] = cost[i] + 1, k
-    out = []
-    while n:
-        out.append(text[n - step[n] : n])
-        n -= step[n]
-    return out[::-1]
-
-
-_THAI_WORDS = frozenset([*THAI_OPEN_LEFT, *THAI_FINAL, *THAI_PLAIN])
-_THAI_LEFT, _THAI_RIGHT = frozenset(THAI_OPEN_LEFT), frozenset(THAI_FINAL)
-_THAI_LONGEST = max(map(len, _THAI_WORDS))
-_THAI_CACHE: dict[tuple[str, str], bool] = {}
-
-
-def _thai_ends(left: str, right: str) -> bool:
-    """Whether a gap between Thai words ends a sentence: no open word before it, and after it no
-    particle that stands alone and so belongs to the sentence before."""
-    key = (left, right)
-    known = _THAI_CACHE.get(key)
-    if known is None:
-        before, after = lattice(left, _THAI_WORDS, _THAI_LONGEST), lattice(right, _THAI_WORDS, _THAI_LONGEST)
-        bound = bool(after) and after[0] in _THAI_RIGHT and not _HAS_THAI.match(right[len(after[0]) : len(after[0]) + 1])
-        known = not ((before and before[-1] in _THAI_LEFT) or bound)
-        if len(_THAI_CACHE) > 100_000:
-            _THAI_CACHE.clear()
-        _THAI_CACHE[key] = known
-    return known
-
-
 def _is_abbreviation(text: str, start: int, at: int, opens: str, nxt: str, rest: int) -> bool:
     """Whether the full stop at ``at`` belongs to the word before it rather than to the sentence."""
-    found = _WORD.search(text, max(start, at - 40), at)
+    found = _WORD.match(text, start, at)
     if found is None:
         return False
     word = found.group().strip("'’-")
     low = unicodedata.normalize("NFC", word.lower())
     upper = nxt.isupper() or nxt.istitle()
-    if found.start() - start < 24 and _LABEL.match(text, start, at):
+    if _LABEL.match(text, start, at):
         return True  # a label at the start stays with what it introduces
     if word.isdigit():
         if found.start() == start:
             return True  # a number that opens the unit
         if nxt.isalpha() and len(word) <= 2:
             w = _NEXT_WORD.match(text, rest)
-            before = text[max(start, found.start() - 12) : found.start()].lower().split()
-            return w.group().lower() in MONTHS or (not opens and bool(before) and before[-1] in ORDINAL_AFTER)
+            return w.group().lower() in MONTHS or (not opens and _word_before(text, start, found.start()) in ORDINAL_AFTER)
         return False
     if low in BEFORE_NUMBER:
         if nxt.isdigit():
@@ -165,8 +113,7 @@ def _is_abbreviation(text: str, start: int, at: int, opens: str, nxt: str, rest:
         return not (len(word) == 1 and word.islower() and upper)
     if len(word) == 1 and word.isalpha():
         if word.isupper() or not word.islower():
-            before = text[max(start, found.start() - 8) : found.start()].lower().split()
-            if before and before[-1].rstrip(".") in ("app", "study", "group", "appendix", "panel", "part", "scale", "vitamin", "type", "box"):
+            if _word_before(text, start, found.start()).rstrip(".") in ("app", "study", "group", "appendix", "panel", "part", "scale", "vitamin", "type", "box"):
                 return not upper
             return nxt.isalnum()
         return not upper
@@ -177,6 +124,12 @@ def _is_abbreviation(text: str, start: int, at: int, opens: str, nxt: str, rest:
     return False
 
 
+def _word_before(text: str, start: int, at: int) -> str:
+    """The word before ``at``, in lower case; longer ones than any that is listed are none."""
+    m = _WORD_BEFORE.match(text, start, at)
+    return m.group(1).lower() if m else ""
+
+
 def block_bounds(text: str) -> Iterator[tuple[int, int]]:
     """The blocks between blank lines."""
     at = 0
@@ -225,11 +178,12 @@ def _items(text: str, start: int, end: int) -> list[tuple[int, int]] | None:
 
 
 class _Marks:
-    """Open quotations and brackets of a block.  A mark that is never closed opens nothing."""
+    """Open quotations and brackets of a block, nested to any depth.  A mark that is never closed opens nothing."""
 
     def __init__(self, text: str, start: int, end: int):
         self.text, self.start, self.end = text, start, end
         self.open: list[tuple[str, int]] = []  # the closing mark expected, where it opened
+        self.waiting: Counter[str] = Counter()  # how many open ones expect each mark
         self.last: dict[str, int] = {}
 
     def _comes(self, mark: str, at: int) -> bool:
@@ -237,23 +191,31 @@ class _Marks:
             self.last[mark] = self.text.rfind(mark, self.start, self.end)
         return self.last[mark] > at
 
+    def _push(self, expected: str, at: int) -> None:
+        self.open.append((expected, at))
+        self.waiting[expected] += 1
+
+    def cut(self, left: int) -> None:
+        """Closes all but the ``left`` outermost."""
+        while len(self.open) > left:
+            self.waiting[self.open.pop()[0]] -= 1
+
     def see(self, mark: str, at: int) -> bool:
         """Takes note of a mark; False if it is neither quotation nor bracket."""
         if mark in _OPEN and not (mark == "“" and self.open and self.open[-1][0] == "“"):
             if self._comes(_OPEN[mark], at) or (mark == "„" and self._comes("”", at)):
-                self.open.append((_OPEN[mark], at))
-        elif mark == '"' and all(c != '"' for c, _ in self.open):
+                self._push(_OPEN[mark], at)
+        elif mark == '"' and not self.waiting['"']:
             if self._comes('"', at):
-                self.open.append(('"', at))
+                self._push('"', at)
         elif mark in _CLOSE or mark == '"':
-            for i in range(len(self.open) - 1, -1, -1):
-                if _closes(mark, self.open[i][0]):
-                    del self.open[i:]
-                    break
+            if self.waiting[mark] or (mark == "”" and self.waiting["“"]):
+                left = len(self.open)
+                while not _closes(mark, self.open[left - 1][0]):
+                    left -= 1
+                self.cut(left - 1)
         else:
             return False
-        if len(self.open) > MAX_DEPTH:
-            self.open.clear()
         return True
 
 
@@ -261,15 +223,16 @@ def _closes(mark: str, expected: str) -> bool:
     return mark == expected or (expected == "“" and mark == "”")
 
 
-def _closing_marks(text: str, at: int, end: int, open_: list[tuple[str, int]]) -> tuple[int, list[tuple[str, int]], int]:
-    """What closes after a terminator: the end of the closing marks and note numbers, what stays open, where the outermost
+def _closing_marks(text: str, at: int, end: int, open_: list[tuple[str, int]]) -> tuple[int, int, int]:
+    """What closes after a terminator: the end of the closing marks and note numbers, how many marks stay open, where the outermost
     closed mark had opened (-1 for none)."""
-    left, opened = list(open_), -1
+    left, opened = len(open_), -1
     while at < end:
         ch = text[at]
-        if left and _closes(ch, left[-1][0]):
-            opened = left.pop()[1]
-        elif ch.isspace() and left and left[-1][0] == "»" and text[at + 1 : at + 2] == "»":
+        if left and _closes(ch, open_[left - 1][0]):
+            left -= 1
+            opened = open_[left][1]
+        elif ch.isspace() and left and open_[left - 1][0] == "»" and text[at + 1 : at + 2] == "»":
             pass  # French sets a space before the closing mark
         elif ch in "[¹²³⁰⁴⁵⁶⁷⁸⁹":
             note = _NOTE.match(text, at, end)
@@ -295,7 +258,7 @@ def _ends_after_quote(text: str, begin: int, opened: int, opens: str, nxt: str,
         return bool(opens)  # a quotation that opens the sentence: what follows says who spoke
     if intro[-1] in ":：":
         return True
-    return not text.startswith(_TAKES_UP if intro[-1] in ",，" else _GOES_ON, rest)
+    return not words.goes_on(words.run_after(text, rest), after_comma=intro[-1] in ",，")
 
 
 def _sentences(text: str, start: int, end: int) -> list[int]:
@@ -307,7 +270,7 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
     cuts: list[int] = []
     begin = skip = start
     marks = _Marks(text, start, end)
-    gaps = [m.span() for m in _THAI_GAP.finditer(text, start, end)] if _HAS_THAI.search(text, start, end) else []
+    gaps = words.gaps(text, start, end)
     gap = 0
 
     def take(cut: int) -> None:
@@ -320,9 +283,9 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
     def take_gaps(before: int) -> None:
         nonlocal gap
         while gap < len(gaps) and gaps[gap][0] <= before:
-            a, b = gaps[gap]
+            a, _, ends = gaps[gap]
             gap += 1
-            if not marks.open and a > begin and _thai_ends(text[max(begin, a - 12) : a], text[b : min(end, b + 12)]):
+            if ends and not marks.open and a > begin:
                 take(a)
 
     for m in _EVENTS.finditer(text, start, end):
@@ -351,7 +314,7 @@ def _sentences(text: str, start: int, end: int) -> list[int]:
         else:
             ends = hard or not (nxt and nxt in ",;،、，")
         if ends:
-            marks.open = left
+            marks.cut(left)
             take(after)
             skip = after
     take_gaps(end)

@@ -3,6 +3,7 @@
 import pytest
 
 from lodestat.llm import sentences as S
+from lodestat.llm import words as W
 
 # Each text is written as its units; they are joined by a space, or by nothing where a script has none.
 SPACED = [
@@ -75,7 +76,38 @@ def test_nothing_to_cut():
 
 
 def test_lattice():
-    assert S.lattice("abcd", frozenset(["ab", "abc", "cd"]), 3) == ["ab", "cd"] and S.lattice("", frozenset(), 1) == []
+    tiny = W.Language(False, frozenset(["ab", "cd"]), frozenset(["abc"]), frozenset(), frozenset())
+    assert W.lattice("abcd", tiny) == ["ab", "cd"] and W.lattice("", tiny) == [] and W.lattice("文字ab", tiny) == ["文字", "ab"]
+    assert W.lattice("คะแนนสูงกว่า", W.LANGUAGES["thai"])[0] == "คะแนน"  # not the particle คะ
+    assert W.lattice("でもよい", W.LANGUAGES["japanese"])[0] == "でも" and W.lattice("と述べた", W.LANGUAGES["japanese"])[0] == "と"
+    assert W.lattice("一个被试", W.LANGUAGES["chinese"])[0] == "一个" and W.lattice("一边说", W.LANGUAGES["chinese"])[0] == "一"
+
+
+GAPS = [
+    ("差は有意でした しかし効果は小さい", 2), ("差は 有意でした", 1), ("効果が しかし小さい", 1), ("参加者は答えた また説明を読んだ", 2), ("実験は終わった 参加者は帰った", 1),
+    ("效应消失了 但是我们继续观察", 2), ("我们 继续观察", 1), ("效应 消失了", 1), ("因为 我们继续", 1),
+    ("ກຸ່ມທົດລອງມີຄະແນນສູງ ຄະແນນຫຼຸດລົງ", 2), ("ກຸ່ມທົດລອງ ແລະ ກຸ່ມຄວບຄຸມ", 2), ("ກຸ່ມທົດລອງແລະ ກຸ່ມຄວບຄຸມ", 1),
+    ("ក្រុមពិសោធន៍បានបញ្ចប់ហើយ យើងបានពិនិត្យ", 2), ("ក្រុមពិសោធន៍ និង ក្រុមត្រួតពិនិត្យ", 1),
+    ("အဖွဲ့သည် ရမှတ်မြင့်သည် သို့သော် ကျဆင်းသည်", 2), ("အဖွဲ့ နှင့် ရမှတ်", 1),
+    ("เราเก็บข้อมูลแล้ว คะแนนลดลง", 2), ("กลุ่มทดลองและ กลุ่มควบคุม", 1), ("ขอบคุณมาก ครับ", 1), ("ผลคือ ไม่มีความแตกต่าง", 1),
+]
+
+
+@pytest.mark.parametrize(("text", "n"), GAPS)
+def test_gaps_without_a_stop(text, n):
+    assert len(cut(text)) == n, cut(text)
+
+
+def test_an_opening_word_after_a_quotation_is_no_particle():
+    assert cut("彼は「はい。」でも帰った。") == ["彼は「はい。」", "でも帰った。"] and cut("彼は「はい。」で終えた。") == ["彼は「はい。」で終えた。"]
+    assert cut("他说“可以。”一个人走了。") == ["他说“可以。”", "一个人走了。"] and cut("他说“可以。”一边走。") == ["他说“可以。”一边走。"]
+
+
+def test_marks_nest_to_any_depth():
+    deep = "He (" + "(" * 200 + "so. It is. " + ")" * 200 + ") left. Then more."
+    assert cut(deep)[-1] == "Then more." and len(cut(deep)) == 2
+    assert len(S.split_units("(" * 20_000 + "a. b. " * 2000 + ")" * 20_000)) == 1
+    assert len(cut("x" * 300 + ", e.g. " + "y" * 90 + " al. (2003) said so")) == 1
 
 
 def test_documents(spark):
