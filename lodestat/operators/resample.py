@@ -1,6 +1,6 @@
 """Recipes evaluated on whole samples: estimators, tests and intervals that need draws or matrices.
 
-All specifications run in one job, one group for each.  A group is a declared study sample and must not exceed
+All specifications run in one job, a group for each sample.  A group is a declared study sample and must not exceed
 MAX_SAMPLE rows; larger tables take the aggregate forms of operators.tstats.  Every stream of random numbers is a
 NumPy generator seeded by the recipe, over rows in the order of their identity, so results depend neither on
 partitions nor on the order of delivery.
@@ -8,6 +8,7 @@ partitions nor on the order of delivery.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions.distributions import norm_cdf_np, norm_ppf_np, t_ppf, t_two_sided_np
-from lodestat.plans.recipe import Recipe, from_json, to_json
+from lodestat.plans.recipe import Recipe
 
 #: Rows of one sample; resampling holds a block of draws of the sample in memory.
 MAX_SAMPLE = 100_000
@@ -254,6 +255,8 @@ def _paired(r: Recipe, s: dict[str, np.ndarray], n: int) -> dict:
         out["p_raw"] = both if r.alternative == "two-sided" else both / 2 if (theta > 0) == (r.alternative == "greater") else 1 - both / 2
     elif r.test == "wilcoxon":
         out["p_raw"] = signed_rank_p(d)
+    elif r.test == "centred_bootstrap":
+        out["p_raw"] = centred_bootstrap_p(np.concatenate([np.asarray(statistic(x[i], y[i])).ravel() for i in rng_blocks(r, n, r.null_draws)]), theta, r.alternative)
     else:
         out["p_raw"] = sign_flip_p(d, r, rng)
     if r.interval in ("student_t", "yuen"):
@@ -269,13 +272,20 @@ def _paired(r: Recipe, s: dict[str, np.ndarray], n: int) -> dict:
     return out
 
 
-def rng_blocks(r: Recipe, n: int) -> Iterator[np.ndarray]:
-    """Row indices of the bootstrap draws, in blocks of one stream."""
-    rng = np.random.default_rng(r.seed)
-    for size in _blocks(r.bootstrap_draws, n):
+def rng_blocks(r: Recipe, n: int, draws: int | None = None) -> Iterator[np.ndarray]:
+    """Row indices of the bootstrap draws, in blocks of one stream; its seed may add the sample's size, so that samples of a size share their draws."""
+    rng = np.random.default_rng(r.seed + (n if r.seed_by_size else 0))
+    for size in _blocks(draws or r.bootstrap_draws, n):
         yield rng.integers(0, n, (size, n))
 
 
+def centred_bootstrap_p(boot: np.ndarray, theta: float, alternative: str) -> float:
+    """The p of an estimate under resampled estimates moved to a null of zero, as (k + 1) / (B + 1)."""
+    null = boot - theta
+    k = {"two-sided": np.abs(null) >= abs(theta), "greater": null >= theta, "less": null <= theta}[alternative].sum()
+    return (int(k) + 1) / (len(boot) + 1)
+
+
 def sign_flip_p(d: np.ndarray, r: Recipe, rng: np.random.Generator) -> float:
     """The sign-flip p: all 2 ** n signs for n up to 16, else seeded draws with (k + 1) / (B + 1)."""
     n, effect = len(d), d.mean()
@@ -343,6 +353,8 @@ def run_recipes(df: DataFrame, recipes: dict[str, Recipe], identity: str, by: li
 
     ``problem`` says why a recipe could not be evaluated; such a row has nulls.  A group above MAX_SAMPLE rows is an
     error: such tables take the aggregate forms.  Null or repeated identities are an error.  Empty tables give no rows.
+
+    Scale: each row is shuffled once, whatever the number of recipes; a sample is a task that evaluates all of them.
     """
     by = by or []
     columns = sorted({c for r in recipes.values() for c in (r.x, r.y, *r.covariates, *([r.polynomial] if r.polynomial else []))})
@@ -354,23 +366,76 @@ def run_recipes(df: DataFrame, recipes: dict[str, Recipe], identity: str, by: li
     sizes = df.groupBy(*by).count().where(F.col("count") > MAX_SAMPLE).limit(1).count()
     if sizes:
         raise ValueError(f"a sample has more than {MAX_SAMPLE} rows")
-    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("spec_id"), F.lit(to_json(r)).alias("recipe")) for k, r in sorted(recipes.items())])).alias("__s")
-    rows = df.select(*by, F.col(identity).alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns], listed).select("*", "__s.spec_id", "__s.recipe").drop("__s")
+    rows = df.select(*by, F.col(identity).alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns])
+    listed = sorted(recipes.items())
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head = {c: group[c].iloc[0] for c in by}
-        spec, recipe = group["spec_id"].iloc[0], from_json(group["recipe"].iloc[0])
-        try:
-            if group["__id"].isna().any() or group["__id"].duplicated().any():
-                raise ValueError("identities must be unique and known")
-            group = group.sort_values("__id", kind="stable")
-            result = evaluate(recipe, {c: group[c].to_numpy(float) for c in columns}, chi2) | {"problem": None}
-        except ValueError as e:
-            result = {"problem": str(e)}
-        return pd.DataFrame([{**head, "spec_id": spec, **{k: result.get(k) for k in _NAMES}}])
+        known = not (group["__id"].isna().any() or group["__id"].duplicated().any())
+        group = group.sort_values("__id", kind="stable")
+        sample = {c: group[c].to_numpy(float) for c in columns}
+        out = []
+        for spec, recipe in listed:
+            try:
+                if not known:
+                    raise ValueError("identities must be unique and known")
+                result = evaluate(recipe, sample, chi2) | {"problem": None}
+            except ValueError as e:
+                result = {"problem": str(e)}
+            out.append({**head, "spec_id": spec, **{k: result.get(k) for k in _NAMES}})
+        return pd.DataFrame(out)[[*by, "spec_id", *_NAMES]]
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "spec_id string", RESULT])
-    return rows.groupBy(*by, "spec_id", "recipe").applyInPandas(lambda g: run(g)[[*by, "spec_id", *_NAMES]], schema)
+    return rows.groupBy(*by).applyInPandas(run, schema)
+
+
+#: The engine's seed, to which a sample's size is added, and its draws.
+ENGINE_SEED, ENGINE_DRAWS = 8729, 9_999
+
+
+def paired_engine(df: DataFrame, x: str, y: str, identity: str, draws: int = ENGINE_DRAWS) -> DataFrame:
+    """The registered engine over one declared paired sample: omitted (null: none), spec_id and the result of each specification.
+
+    The full sample takes raw differences and log ratios by mean (t test; centred bootstrap with percentile and BCa intervals) and 20 %
+    trimmed mean (centred bootstrap, both intervals); each sample without one row takes the centred bootstraps with percentile intervals.  Samples of
+    a size share their indices, which are those of ``resample_index(n, draws, ENGINE_SEED + n)``.  Values that are not positive have no log
+    ratio, which ``problem`` says.
+
+    Scale: for samples that are declared and small, as it makes one group for each row and the full sample, in one job.
+    """
+    full, without = {}, {}
+    for scale, transform in (("raw", "none"), ("log_ratio", "log")):
+        for name, estimator in (("mean", "mean"), ("trim20", "trimmed_difference")):
+            make = lambda test, interval: Recipe(
+                "paired", x, y, estimator, test, interval, transform=transform, null_draws=draws, bootstrap_draws=draws, seed=ENGINE_SEED, seed_by_size=True
+            )
+            if name == "mean":
+                full[f"{scale}/{name}/t"] = make("t", "student_t")
+            full[f"{scale}/{name}/centred/percentile"] = without[f"{scale}/{name}/centred/percentile"] = make("centred_bootstrap", "percentile")
+            full[f"{scale}/{name}/centred/bca"] = make("centred_bootstrap", "bca")
+    kind = df.schema[identity].dataType
+    sample = df.select(identity, x, y)
+    n = sample.where(F.col(identity).isNotNull()).count()
+    whole = run_recipes(sample, full, identity).select(F.lit(None).cast(kind).alias("omitted"), "spec_id", *_NAMES)
+    left = run_recipes(leave_one_out(sample, identity, n).where("omitted is not null"), without, identity, ["omitted"])
+    return whole.unionByName(left)
+
+
+def bootstrap_by_index(df: DataFrame, x: str, y: str, identity: str, index: DataFrame) -> DataFrame:
+    """n, estimate, exceedances, p_raw of the mean difference under its centred bootstrap, by joins over a table of shared indices.
+
+    The second formulation of the engine's test: no arrays, only an equi-join of draws and rows and two aggregations.
+    """
+    from lodestat.operators.ranked import cumulative
+
+    d = df.select(identity, (F.col(x).cast("double") - F.col(y).cast("double")).alias("__d"), F.lit(1).alias("__one"))
+    rows = cumulative(d, [], [identity], "__one").select(F.col("before").cast("bigint").alias("idx"), "__d")
+    theta = d.agg(F.count("*").alias("n"), F.avg("__d").alias("estimate"))
+    means = index.join(rows, "idx").groupBy("draw").agg(F.avg("__d").alias("__m"))
+    # means that differ by rounding alone count as equal, as the two formulations add in other orders
+    off = F.abs(F.col("__m") - F.col("estimate")) >= F.abs("estimate") * (1 - 1e-12)
+    counted = means.crossJoin(theta).groupBy("n", "estimate").agg(F.count_if(off).alias("exceedances"), F.count("*").alias("__b"))  # theta is one row
+    return counted.select("n", "estimate", "exceedances", ((F.col("exceedances") + 1) / (F.col("__b") + 1)).alias("p_raw"))
 
 
 def leave_one_out(df: DataFrame, key: str, omit: int) -> DataFrame:
@@ -395,15 +460,25 @@ def leave_one_out_means(df: DataFrame, key: str, value: str, by: list[str]) -> D
 
 
 def resample_index(spark, n: int, draws: int, seed: int) -> DataFrame:
-    """The shared resampling indices: draw, pos, idx of ``draws`` samples of size n with replacement, from one stream."""
+    """The shared resampling indices: draw, pos, idx of ``draws`` samples of size n with replacement, from one stream.
+
+    The stream is walked once on the driver, which keeps the generator's state at the head of each block of about BLOCK_CELLS indices; a
+    task draws its block alone from there.
+    """
+    size = max(1, BLOCK_CELLS // max(n, 1))
+    rng, blocks = np.random.default_rng(seed), []
+    for at in range(0, draws, size):
+        some = min(size, draws - at)
+        blocks.append((at, some, json.dumps(rng.bit_generator.state)))
+        if at + some < draws:
+            rng.integers(0, n, (some, n))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, size in zip(batch["first"], batch["size"]):
-                rng = np.random.default_rng(seed)
-                index = rng.integers(0, n, (int(first + size), n))[int(first) :]
-                yield pd.DataFrame({"draw": np.repeat(np.arange(first, first + size), n), "pos": np.tile(np.arange(n), size), "idx": index.ravel()})
+            for first, some, state in zip(batch["first"], batch["size"], batch["state"]):
+                own = np.random.default_rng()
+                own.bit_generator.state = json.loads(state)
+                index = own.integers(0, n, (int(some), n))
+                yield pd.DataFrame({"draw": np.repeat(np.arange(first, first + some), n), "pos": np.tile(np.arange(n), some), "idx": index.ravel()})
 
-    size = max(1, BLOCK_CELLS // max(n, 1))
-    blocks = [(at, min(size, draws - at)) for at in range(0, draws, size)]
-    return spark.createDataFrame(blocks, "first bigint, size bigint").mapInPandas(rows, "draw bigint, pos bigint, idx bigint")
+    return spark.createDataFrame(blocks, "first bigint, size bigint, state string").mapInPandas(rows, "draw bigint, pos bigint, idx bigint")

@@ -8,9 +8,9 @@ from dataclasses import asdict, dataclass, field, fields, replace
 
 # Which tests and intervals an estimator admits.
 LEGAL = {
-    ("paired", "mean"): ({"t", "sign_flip"}, {"student_t", "bca", "percentile"}),
+    ("paired", "mean"): ({"t", "sign_flip", "centred_bootstrap"}, {"student_t", "bca", "percentile"}),
     ("paired", "yuen"): ({"yuen"}, {"yuen", "student_t", "percentile"}),
-    ("paired", "trimmed_difference"): ({"yuen"}, {"yuen", "student_t", "percentile"}),
+    ("paired", "trimmed_difference"): ({"yuen", "centred_bootstrap"}, {"yuen", "student_t", "percentile", "bca"}),
     ("paired", "rank_biserial"): ({"wilcoxon"}, {"percentile"}),
     ("association", "partial"): ({"t", "freedman_lane", "residual_permutation"}, {"fisher_z", "percentile"}),
     ("association", "semipartial"): ({"t", "freedman_lane", "residual_permutation"}, {"percentile"}),
@@ -50,6 +50,7 @@ class Recipe:
     null_draws: int = 20_000
     bootstrap_draws: int = 10_000
     seed: int = 20260915
+    seed_by_size: bool = False
     approximate_rank_fisher: bool = False
 
     def __post_init__(self) -> None:

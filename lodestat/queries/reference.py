@@ -391,6 +391,27 @@ def recipes(spark: SparkSession, sf: str) -> DataFrame:
     return resample.run_recipes(_study_sample(spark, sf), RECIPES, "pid", ["load_id"])
 
 
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", (F.length("n_name") + F.col("n_nationkey") / 10.0).alias("x"), (F.col("n_regionkey") + 4.0 + F.col("n_nationkey") / 7.0).alias("y"))
+
+
+@query()
+def paired_engine(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered engine over the nations, with each left out in turn, at its own number of draws."""
+    return resample.paired_engine(_nations(spark, sf), "x", "y", "n_nationkey")
+
+
+@query("SELECT 25::BIGINT AS n, true AS same_estimate, true AS same_p FROM nation LIMIT 1")
+def engine_formulations(spark: SparkSession, sf: str) -> DataFrame:
+    """The centred bootstrap by arrays and by joins over the shared indices: both must count the same exceedances."""
+    t = _nations(spark, sf)
+    index = resample.resample_index(spark, 25, resample.ENGINE_DRAWS, resample.ENGINE_SEED + 25)
+    two = resample.bootstrap_by_index(t, "x", "y", "n_nationkey", index).withColumnsRenamed({"estimate": "e", "p_raw": "p"})
+    recipe = {"mean": Recipe("paired", "x", "y", "mean", "centred_bootstrap", null_draws=resample.ENGINE_DRAWS, seed=resample.ENGINE_SEED, seed_by_size=True)}
+    one = resample.run_recipes(t, recipe, "n_nationkey")
+    return one.join(two, "n").select("n", is_close(F.col("estimate"), F.col("e"), 1e-12, 1e-12).alias("same_estimate"), (F.col("p_raw") == F.col("p")).alias("same_p"))
+
+
 @query()
 def resample_indices(spark: SparkSession, sf: str) -> DataFrame:
     return resample.resample_index(spark, 25, 9999, 8729 + 25)
