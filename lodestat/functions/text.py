@@ -84,8 +84,10 @@ def ratio(a: str | None, b: str | None) -> float:
 
 
 def labels_match(a: str | None, b: str | None) -> bool:
-    """Whether labels agree: the same digits in order, and a ratio of at least .8 without the word section."""
-    x, y = (re.sub(r"\bsection\b", "", (s or "").lower()) for s in (a, b))
+    """Whether labels agree: the same digits in order, and a ratio of at least .8 without a leading ``section``; a label without letters or digits agrees with any."""
+    x, y = (re.sub(r"^section\s+", "", (s or "").lower()) for s in (a, b))
+    if not re.search("[a-z0-9]", x) or not re.search("[a-z0-9]", y):
+        return True
     return re.findall(r"\d+", x) == re.findall(r"\d+", y) and ratio(x, y) >= 0.8
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.functions import text
 from lodestat.functions.expr import is_close
 from lodestat.operators.ranked import cumulative
 
@@ -195,19 +198,74 @@ def eligible_ids(df: DataFrame, key: str, ids: str, allowed: DataFrame, allowed_
     return df.join(back, key, "left").withColumn(ids, F.coalesce("__ids", F.array().cast(df.schema[ids].dataType))).drop("__ids")
 
 
-def candidate_scores(a: DataFrame, b: DataFrame, block: list[str], equal: Mapping[str, float], similar: Mapping[str, float]) -> DataFrame:
-    """Pairs of ``a`` and ``b`` (columns prefixed a_ and b_) of one block, scored by equal fields and shared words.
+# Words that say nothing about which quantity is meant, and units and names that identify a design.
+STOP_WORDS = "the a an of in for and between to was is when with p t d dz test tests paired condition conditions".split()
+DESIGN_LEVEL = r"(?i)(?<![\w.])(\d+(?:\.\d+)?\s*(?:dB|ms|Hz|seconds?|milliseconds?))\b"
+DESIGN_ID = r"(?i)\b((?:experiment|exp|study|sample|wave|session)\.?\s*\d+)\b"
+PRINTED_DF = r"(?i)\b((?:t|f|r)\s*\([\d.,\s]+\))"
+#: Descriptions and quotations support a link from these similarities on, quotations from this length.
+ALIKE, CONTEXT_ALIKE, CONTEXT_LEAST = 0.5, 0.8, 20
+#: Cells are one if they have the same digits and this share of their words.
+LABEL_ALIKE = 0.8
 
-    ``equal`` weighs null-safe equality of a field, ``similar`` the share of common words of a text.
+
+def linkage_candidates(a: DataFrame, b: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """a_id, b_id, score: which readings of two readers may be of one quantity, and how well they are supported.
+
+    Both have id, paper_id, page, kind, study_id, loc_kind, label, cell, description, source_quote.  A pair has one paper and page and
+    the same canonical kind (a mean may meet an ``other``); unless unknown on a side, the same study, kind of place, cell, design levels, design
+    numbers and printed degrees of freedom, and labels with the same digits that are alike.  It then needs support: the same
+    quotation, quotations alike but for their numbers, or descriptions alike or containing each other's words by ``alike``.  The value is no
+    part of it.  A null paper, page or kind never pairs.
+
+    Scale: an equi-join on (paper, page, kind); the gates are expressions inside of it, so that only pairs that pass them reach the
+    text comparison.
     """
-    left = a.select(*block, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in block])
-    right = b.select(*block, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in block])
-    words = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\d.]+"))
-    terms = [F.when(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), w).otherwise(0.0) for c, w in equal.items()]
-    for c, w in similar.items():
-        x, y = words(F.col(f"a_{c}")), words(F.col(f"b_{c}"))
-        terms.append(w * F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)))
-    return left.join(right, block).withColumn("score", reduce(lambda p, q: p + q, terms, F.lit(0.0)))
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    found = lambda c, p: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, r"[\s.]+(?=\S)", "")))))
+
+    pieces = lambda c, p: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(p), F.lit(1))
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        text = F.concat_ws(" ", "description", "source_quote")
+        words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("description", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))), F.array(*map(F.lit, STOP_WORDS)))
+        return df.select(
+            F.col("id").alias(f"{s}_id"), "paper_id", "page", canonical_kind(F.col("kind")).alias(f"{s}_kind"), norm(F.col("study_id")).alias(f"{s}_study"), F.col("loc_kind").alias(f"{s}_place"),
+            F.col("label").alias(f"{s}_label"), F.array_distinct(pieces(F.col("cell"), "([a-z0-9]+)")).alias(f"{s}_cell"), pieces(F.col("cell"), "([0-9]+)").alias(f"{s}_digits"), F.col("description").alias(f"{s}_description"), F.col("source_quote").alias(f"{s}_quote"),
+            found(F.col("description"), DESIGN_LEVEL).alias(f"{s}_levels"), found(text, DESIGN_ID).alias(f"{s}_designs"), found(F.col("source_quote"), PRINTED_DF).alias(f"{s}_df"), words.alias(f"{s}_words"),
+        )
+
+    left = side(a, "a").withColumn("__kind", F.col("a_kind"))
+    right = side(b, "b").withColumn("__kind", F.explode(F.when(F.col("b_kind").isin("mean", "other"), F.array(F.lit("mean"), F.lit("other"))).otherwise(F.array("b_kind"))))
+    open_or_same = lambda f: F.coalesce(F.col(f"a_{f}") == F.col(f"b_{f}"), F.lit(True))
+    empty_or_same = lambda f: (F.size(f"a_{f}") == 0) | (F.size(f"b_{f}") == 0) | (F.col(f"a_{f}") == F.col(f"b_{f}"))
+    union = F.nullif(F.size(F.array_union("a_cell", "b_cell")), F.lit(0))
+    one_empty = (F.size("a_cell") == 0) | (F.size("b_cell") == 0)
+    cells = one_empty | ((F.col("a_digits") == F.col("b_digits")) & (F.size(F.array_intersect("a_cell", "b_cell")) / union >= LABEL_ALIKE))
+    j = left.join(right, ["paper_id", "page", "__kind"]).where(
+        open_or_same("study") & open_or_same("place") & cells & empty_or_same("levels") & empty_or_same("designs") & empty_or_same("df")
+    )
+    smaller = F.nullif(F.least(F.size("a_words"), F.size("b_words")), F.lit(0))
+    contained = F.coalesce(F.size(F.array_intersect("a_words", "b_words")) / smaller, F.lit(0.0))
+    quoted = F.coalesce((F.col("a_quote") == F.col("b_quote")) & (F.col("a_quote") != ""), F.lit(False))
+    compared = F.pandas_udf(_compare_texts, "labels boolean, description double, context double")
+    j = j.withColumn("__t", compared("a_label", "b_label", "a_description", "b_description", "a_quote", "b_quote")).where("__t.labels")
+    similarity = F.greatest(F.col("__t.description"), contained)
+    context = F.when(F.col("__t.context") >= CONTEXT_ALIKE, F.col("__t.context")).otherwise(0.0)
+    both_cells = (~one_empty).cast("double")
+    scored = j.where(quoted | (context > 0) | (similarity >= alike))
+    return scored.select("a_id", "b_id", (3.0 * quoted.cast("double") + 6 * context + similarity + both_cells).alias("score"))
+
+
+def _compare_texts(la: pd.Series, lb: pd.Series, da: pd.Series, db: pd.Series, qa: pd.Series, qb: pd.Series) -> pd.DataFrame:
+    """Whether labels match, and the likeness of descriptions and of quotations without their numbers."""
+    bare = lambda s: re.sub(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?", "#", s or "")
+    out = []
+    for a, b, x, y, p, q in zip(la, lb, da, db, qa, qb):
+        p, q = bare(text.norm_source(p or "")), bare(text.norm_source(q or ""))
+        long = min(len(p), len(q)) >= CONTEXT_LEAST
+        out.append((text.labels_match(a, b), text.ratio(bare(x), bare(y)) if x and y else 0.0, text.ratio(p, q) if long else 0.0))
+    return pd.DataFrame(out, columns=["labels", "description", "context"])
 
 
 def value_band(tokens: DataFrame, by: list[str], y: str, margin: float) -> DataFrame:

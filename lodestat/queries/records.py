@@ -197,11 +197,14 @@ def designs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "claims").select("paper_id", F.col("location.page").alias("page"), "claim_uid", records.canonical_kind(F.col("quantity_kind")).alias("kind"), "description").distinct()
-    r = table(spark, sf, "reader_claims").select("paper_id", F.col("location.page").alias("page"), "reader_uid", records.canonical_kind(F.col("quantity_kind")).alias("kind"), "description")
-    s = records.candidate_scores(c, r, ["paper_id", "page"], {"kind": 4.0}, {"description": 6.0})
-    return s.where("score > 4").select("a_claim_uid", "b_reader_uid", F.round("score", 6).alias("score"))
+def linkage_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Which readings of the two readers may be of one quantity, with their support."""
+    place = [F.col("location.page").alias("page"), F.col("location.kind").alias("loc_kind"), F.col("location.label").alias("label"), F.col("location.cell").alias("cell")]
+    c = table(spark, sf, "claims").select(F.col("claim_uid").alias("id"), "paper_id", F.col("quantity_kind").alias("kind"), *place, F.regexp_replace("study_id", "[^0-9]", "").alias("study_id"), "description", "source_quote").distinct()
+    study = F.nullif(F.regexp_extract("description", r"(?i)\b(?:study|experiment|exp\.?|s)\s*(\d)\b", 1), F.lit(""))
+    place[2] = F.lit(None).cast("string").alias("label")  # the second reader names places in another way
+    r = table(spark, sf, "reader_claims").select(F.col("reader_uid").alias("id"), "paper_id", F.col("quantity_kind").alias("kind"), *place, study.alias("study_id"), "description", F.lit(None).cast("string").alias("source_quote")).distinct()
+    return records.linkage_candidates(c, r).select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
 @query()
