@@ -1,15 +1,16 @@
 """Schemas that drift between files.
 
-Each file gets a fingerprint of its fields and their types.  Files of one path are ordered by
-the time they were written; only where a fingerprint differs from the one before are
-both payloads compared, which yields explicit migration steps (rename, add, remove, cast).  The
-steps found in all files make a registry that routes every record into one table.
+Each file gets a fingerprint of its fields and their types; the files of one path, in the order they were written,
+make versions of a schema.  Only where a fingerprint differs from the one before are both payloads compared,
+which yields explicit migration steps (rename, add, remove, cast).  The steps found in all files
+make a registry; each file is routed through its rename, default and cast rules into one table, and every rule that was applied is recorded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.ordered import previous_row
+from lodestat.operators.ranked import cumulative
 
 #: Keys that name a record within its list.
 RECORD_KEYS = ("claim_id", "source_id", "source_text")
@@ -74,15 +76,22 @@ def _plain(value):
     return value
 
 
-def _sections(doc: dict) -> dict[str, list[dict]]:
-    """The records of each list; ``meta`` is a list of one."""
-    out = {}
+def _sections(doc: dict, rest: bool = False) -> dict[str, list[dict]]:
+    """The records of each list; ``meta`` is a list of one.
+
+    With ``rest`` nothing is left out: other fields of the file are the one record of ``file``, and entries that are no objects have one field ``value``.
+    """
+    out: dict[str, list[dict]] = {}
+    loose = {}
     for name, value in doc.items():
-        if name == "meta":
-            if isinstance(value, dict):
-                out[name] = [value]
-        elif isinstance(value, list):
-            out[name] = [r for r in value if isinstance(r, dict)]
+        if name == "meta" and isinstance(value, dict):
+            out[name] = [value]
+        elif name != "meta" and isinstance(value, list):
+            out[name] = [r if isinstance(r, dict) else {"value": r} for r in value if rest or isinstance(r, dict)]
+        else:
+            loose[name] = value
+    if rest and loose:
+        out["file"] = [*out.get("file", []), loose]
     return out
 
 
@@ -175,12 +184,17 @@ def _change_lists(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def file_versions(files: DataFrame) -> DataFrame:
-    """One row for each file: file_id, path, written_at, fingerprint, prev<file_id, fingerprint>."""
-    once = files.select("file_id", "path", "written_at", "payload").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
-    skinny = once.select("file_id", "path", "written_at", F.pandas_udf(_fingerprints, "string")("payload").alias("fingerprint"))
+    """One row for each file: file_id, path, written_at, digest of the payload, fingerprint, prev<file_id, digest, fingerprint>.
+
+    Of deliveries of a file that differ the one written first counts, then that of the smaller digest.
+    """
+    each = files.where(F.col("file_id").isNotNull()).select(
+        "file_id", "path", "written_at", F.xxhash64("payload").alias("digest"), F.pandas_udf(_fingerprints, "string")("payload").alias("fingerprint")
+    )
+    skinny = each.groupBy("file_id").agg(F.min(F.struct("written_at", "digest", "path", "fingerprint")).alias("__f"))
     return previous_row(
-        skinny, by="path", order=["written_at", "file_id"], carry=["file_id", "fingerprint"],
-        slice_of=F.date_trunc("day", F.col("written_at").cast("timestamp")),
+        skinny.select("file_id", "__f.path", "__f.written_at", "__f.digest", "__f.fingerprint"), by="path", order=["written_at", "file_id"],
+        carry=["file_id", "digest", "fingerprint"], slice_of=F.date_trunc("day", F.col("written_at").cast("timestamp")),
     )
 
 
@@ -194,17 +208,39 @@ def file_changes(files: DataFrame) -> DataFrame:
     has no fields to compare, so neither it nor its successor reports changes.  Records without a
     key take part in the fields but not in the comparison of values; repeated keys are paired in order.
 
-    Scale: payloads are read twice and move only where the fingerprint changed; the order of a
+    Scale: payloads are read twice.  Fingerprints are made where they are read, and repeated deliveries are folded on narrow rows;
+    only payloads of files whose fingerprint changed, and of their predecessors, are handed on.  The order of a
     path is found in daily slices on narrow rows.
     """
     changed = file_versions(files).where(F.col("prev").isNotNull() & ~F.col("fingerprint").eqNullSafe(F.col("prev.fingerprint")))
-    payloads = files.select(F.col("file_id").alias("fid"), "payload").where(F.col("fid").isNotNull()).dropDuplicates(["fid"])
-    pairs = (
-        changed.select("file_id", F.col("prev.file_id").alias("prev_id"))
-        .join(payloads.select(F.col("fid").alias("file_id"), F.col("payload").alias("after")), "file_id")
-        .join(payloads.select(F.col("fid").alias("prev_id"), F.col("payload").alias("before")), "prev_id")
+    pairs = changed.select("file_id", "digest", F.col("prev.file_id").alias("prev_id"), F.col("prev.digest").alias("prev_digest"))
+    wanted = pairs.select(F.inline(F.array(F.struct(F.col("file_id").alias("fid"), F.col("digest").alias("__h")), F.struct(F.col("prev_id").alias("fid"), F.col("prev_digest").alias("__h"))))).distinct()
+    once = files.select(F.col("file_id").alias("fid"), F.xxhash64("payload").alias("__h"), "payload").join(wanted, ["fid", "__h"], "left_semi").dropDuplicates(["fid", "__h"])
+    both = (
+        pairs.join(once.select(F.col("fid").alias("file_id"), F.col("__h").alias("digest"), F.col("payload").alias("after")), ["file_id", "digest"])
+        .join(once.select(F.col("fid").alias("prev_id"), F.col("__h").alias("prev_digest"), F.col("payload").alias("before")), ["prev_id", "prev_digest"])
+    )
+    return both.select("file_id", F.inline(F.pandas_udf(_change_lists, CHANGE)("before", "after")))
+
+
+def schema_versions(files: DataFrame) -> DataFrame:
+    """The versions of the schema of each path: path, version (from 1), fingerprint, first_file, n_files, steps.
+
+    A version lasts as long as files of the path, in the order they were written, keep their fingerprint; ``steps`` are the sorted changes
+    (change_kind, field_before, field_after) that lead to it, empty for the first.
+
+    Scale: versions are numbered by sums over ranges of narrow rows, so no path's files meet in one task.
+    """
+    each = file_versions(files)
+    starts = F.col("prev").isNull() | ~F.col("fingerprint").eqNullSafe(F.col("prev.fingerprint"))
+    marked = each.select("path", F.col("written_at").cast("timestamp").alias("written_at"), "file_id", "fingerprint", starts.cast("int").alias("__new"))
+    numbered = cumulative(marked, ["path"], ["written_at", "file_id"], "__new").withColumn("version", (F.col("before") + F.col("__new")).cast("int"))
+    versions = numbered.groupBy("path", "version").agg(
+        F.min("fingerprint").alias("fingerprint"), F.min_by("file_id", F.struct("written_at", "file_id")).alias("first_file"), F.count("*").alias("n_files")
     )
-    return pairs.select("file_id", F.inline(F.pandas_udf(_change_lists, CHANGE)("before", "after")))
+    steps = file_changes(files).groupBy(F.col("file_id").alias("first_file")).agg(F.array_sort(F.collect_set(F.struct("change_kind", "field_before", "field_after"))).alias("steps"))
+    none = F.array().cast(steps.schema["steps"].dataType)
+    return versions.join(steps, "first_file", "left").select("path", "version", "fingerprint", "first_file", "n_files", F.coalesce("steps", none).alias("steps"))
 
 
 def registry(changed: DataFrame) -> list[tuple[str, str, str]]:
@@ -239,43 +275,114 @@ def registry(changed: DataFrame) -> list[tuple[str, str, str]]:
     return sorted(out)
 
 
+def _field_kinds(payload: pd.Series) -> pd.Series:
+    """The fields of files with their types and how often each occurs."""
+    out = []
+    for p in payload:
+        counts: dict[tuple[str, str, str], int] = defaultdict(int)
+        for section, records in _sections(_parse(p) or {}, rest=True).items():
+            for r in records:
+                for name, value in r.items():
+                    if value is not None:
+                        counts[section, name, _kind(value)] += 1
+        out.append([{"section": s, "name": n, "kind": k, "n": c} for (s, n, k), c in counts.items()])
+    return pd.Series(out)
+
+
+def cast_value(value, target: str) -> tuple[object, list[str]] | None:
+    """A value as the target type, and the casts that lead there; None if no rules do.
+
+    Arrays and objects of one member become that member, numbers and booleans text, text the number or boolean that it says, and a
+    single value an array of one.
+    """
+    steps: list[str] = []
+    while _kind(value) != target:
+        kind = _kind(value)
+        if kind == "array" and len(value) == 1 and value[0] is not None:
+            value = value[0]
+        elif kind == "object" and len(value) == 1 and next(iter(value.values())) is not None:
+            value = next(iter(value.values()))
+        elif target == "string" and kind in ("number", "boolean"):
+            value = str(_text(value))
+        elif target == "number" and kind == "string" and _IS_NUMBER.fullmatch(value):
+            value = _Number(value)
+        elif target == "boolean" and kind == "string" and value in ("true", "false"):
+            value = value == "true"
+        elif target == "array" and kind != "object":
+            value = [value]
+        else:
+            return None
+        steps.append(f"{kind}>{_kind(value)}")
+    return value, steps
+
+
 def consistent_records(files: DataFrame) -> DataFrame:
-    """All records of all files in one table, under canonical field names.
+    """All records of all files in one table, under canonical field names and types.
+
+    Gives file_id, path, section, record_no, record_key, field, field_before, value, kind, rule.  ``field`` is the canonical name,
+    ``field_before`` the name in the file, ``value`` the value as text, ``kind`` its JSON type, and ``rule`` the chain of rules that led there:
+    ``kept``, or ``renamed``, ``collision`` (the file has two names of one field: one keeps its place, the others their own names), ``cast a>b``, or
+    ``uncast a`` where no rule leads to the field's type, which is the most frequent one of the field over all files.  A field that the section
+    has elsewhere but this file's version has not gets one row with ``default``, null and no record.
 
-    Gives file_id, path, section, record_no, record_key, field, value, kind, rule.  ``field`` is the canonical
-    name, ``value`` the value as text, ``kind`` its JSON type; ``rule`` says what was done: ``kept``, ``renamed``,
-    ``cast`` (an array of one became its element, where the field's majority is no array).
+    A file delivered twice counts once.  Payloads that are null or no JSON object give no rows; null values and fields missing in single records
+    are left out.  Other fields of a file than its meta and lists are the section ``file``, entries that are no objects have the field ``value``.
 
-    A file delivered twice counts once.  Payloads that are null or no JSON object give no rows;
-    null values and missing fields are both left out, null being the default of every field.
+    Scale: payloads are folded by (file, digest) once; the registry, at most MAX_FIELD_NAMES renames and fields, is all that the driver sees.
     """
-    once = files.select("file_id", "path", "payload").where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
+    chosen = file_versions(files).select("file_id", "path", F.col("digest").alias("__h"))
+    once = files.select("file_id", F.xxhash64("payload").alias("__h"), "payload").join(chosen, ["file_id", "__h"]).dropDuplicates(["file_id", "__h"])
     rules = {(s, n): c for s, n, c in registry(file_changes(files))}
+    kinds = "array<struct<section:string,name:string,kind:string,n:bigint>>"
+    counted = files.where(F.col("file_id").isNotNull()).select(F.inline(F.pandas_udf(_field_kinds, kinds)("payload"))).groupBy("section", "name", "kind").agg(F.sum("n").alias("n"))
+    listed = counted.limit(MAX_FIELD_NAMES + 1).collect()
+    if len(listed) > MAX_FIELD_NAMES:
+        raise ValueError(f"more than {MAX_FIELD_NAMES} distinct fields: these names are data, not a schema")
+    weight: dict[tuple[str, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for r in listed:
+        weight[r.section, rules.get((r.section, r.name), r.name)][r.kind] += r.n
+    main = {f: max(sorted(k), key=lambda x: k[x]) for f, k in weight.items()}
+    fields_of: dict[str, list[str]] = defaultdict(list)
+    for section, field in sorted(main):
+        fields_of[section].append(field)
+
+    def route(section: str, records: list[dict]) -> dict[str, tuple[str, str]]:
+        """The canonical name of each field of a file, and the rule."""
+        names = sorted({n for r in records for n in r})
+        out: dict[str, tuple[str, str]] = {}
+        taken: dict[str, str] = {}
+        for n in sorted(names, key=lambda n: (rules.get((section, n), n) != n, n)):  # who has the canonical name comes first
+            to = rules.get((section, n), n)
+            out[n] = (n, "collision") if to in taken else (to, "renamed" if to != n else "")
+            taken.setdefault(to, n)
+        return out
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for file_id, path, payload in zip(batch.file_id, batch.path, batch.payload):
-                for section, records in _sections(_parse(payload) or {}).items():
+                for section, records in _sections(_parse(payload) or {}, rest=True).items():
+                    routes = route(section, records)
+                    here = {to for to, _ in routes.values()}
+                    out += [(file_id, path, section, None, None, f, None, None, main[section, f], "default") for f in fields_of[section] if f not in here]
                     for no, r in enumerate(records):
                         key = next((_text(r[k]) for k in RECORD_KEYS if r.get(k) is not None), None)
                         for name, value in r.items():
-                            if value is not None:
-                                to = rules.get((section, name), name)
-                                single = _text(value[0]) if isinstance(value, list) and len(value) == 1 and not isinstance(value[0], (list, dict)) else None
-                                out.append((file_id, path, section, no, key, to, _text(value), _kind(value), "renamed" if to != name else "kept", single))
-            yield pd.DataFrame(out, columns=["file_id", "path", "section", "record_no", "record_key", "field", "value", "kind", "rule", "single"])
-
-    schema = "file_id string, path string, section string, record_no int, record_key string, field string, value string, kind string, rule string, single string"
-    long = once.mapInPandas(rows, schema)
-    majority = (
-        long.groupBy("section", "field", "kind").agg(F.count("*").alias("n"))
-        .groupBy("section", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("main_kind"))
-    )
-    cast = (F.col("kind") == "array") & (F.col("main_kind") != "array") & F.col("single").isNotNull()
-    return long.join(majority, ["section", "field"]).select(
-        "file_id", "path", "section", "record_no", "record_key", "field",
-        F.when(cast, F.col("single")).otherwise(F.col("value")).alias("value"),
-        F.when(cast, F.col("main_kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(cast, F.lit("cast")).otherwise(F.col("rule")).alias("rule"),
-    )
+                            if value is None:
+                                continue
+                            to, rule = routes[name]
+                            chain = [rule] if rule else []
+                            cast = cast_value(value, main.get((section, to), _kind(value)))
+                            if cast is None:
+                                chain.append(f"uncast {_kind(value)}")
+                            else:
+                                value, steps = cast
+                                chain += [f"cast {s}" for s in steps]
+                            out.append((file_id, path, section, no, key, to, name, _text(value), _kind(value), ", ".join(chain) or "kept"))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"record_no": "Int32"})
+
+    return once.mapInPandas(rows, RECORD)
+
+
+RECORD = "file_id string, path string, section string, record_no int, record_key string, field string, field_before string, value string, kind string, rule string"
+_IS_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")

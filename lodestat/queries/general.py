@@ -29,6 +29,10 @@ def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent_records(table(spark, sf, "artifact_files"))
 
 
+def p1_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.schema_versions(table(spark, sf, "artifact_files"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, (numeric, categorical) in LOADED.items():
@@ -130,7 +134,7 @@ def p7_fixture_study(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_records, p3_found, p3_profile, p3_coverage, p3_expressions, p4_found, p4_report, p6_found, p6_options, p6_cells,
+        p1_found, p1_records, p1_versions, p3_found, p3_profile, p3_coverage, p3_expressions, p4_found, p4_report, p6_found, p6_options, p6_cells,
         p6_uncertainty, p7_found, p7_study1, p7_fixture_study,
     )
 }

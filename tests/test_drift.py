@@ -66,12 +66,40 @@ def test_files_are_compared_in_the_order_of_writing(spark):
 
 def test_one_consistent_table(spark):
     rows = [
-        ("f1", "p", at(0), at(0), doc([{"claim_id": "c", "op": "mean", "k": "x"}]), None), ("f2", "p", at(1), at(1), doc([{"claim_id": "c", "operation": "mean", "k": ["x"]}]), None),
-        ("f3", "p", at(2), at(1), doc([{"claim_id": "c", "op2": "mean", "k": "x"}]), None),
+        ("f1", "p", at(0), at(0), doc([{"claim_id": "c", "op": "mean", "k": "x", "m": 1.5}]), None), ("f2", "p", at(1), at(1), doc([{"claim_id": "c", "operation": "mean", "k": ["x"], "m": "100"}]), None),
+        ("f3", "p", at(2), at(1), doc([{"claim_id": "c", "op2": "mean", "k": {"name": 7}, "m": [{"v": 2}]}]), None), ("f4", "q", at(2), at(1), doc([{"claim_id": "d", "op": "sd", "operation": "mean", "k": "y", "m": "many"}]), None),
+        ("f5", "r", at(2), at(1), json.dumps({"meta": 5, "note": "n", "readouts": [3, {"claim_id": "e", "k": "z"}]}), None),
     ]
-    got = drift.consistent_records(spark.createDataFrame(rows, FILES)).where("section = 'readouts'").collect()
-    by = {(r.file_id, r.field): (r.value, r.rule) for r in got}
-    names = {f for _, f in by}
-    assert names == {"claim_id", "k", "op"}
-    assert by["f2", "op"] == ("mean", "renamed") and by["f3", "op"][1] == "renamed" and by["f2", "k"] == ("x", "cast")
+    got = drift.consistent_records(spark.createDataFrame(rows, FILES)).collect()
+    by = {(r.file_id, r.section, r.record_no, r.field): (r.field_before, r.value, r.kind, r.rule) for r in got}
+    at_ = lambda f, field, no=0, section="readouts": by.get((f, section, no, field))
+    assert at_("f1", "op") == ("op", "mean", "string", "kept") and at_("f2", "op") == ("operation", "mean", "string", "renamed") and at_("f3", "op")[3] == "renamed"
+    assert at_("f2", "k") == ("k", "x", "string", "cast array>string") and at_("f3", "k") == ("k", "7", "string", "cast object>number, cast number>string")
+    assert at_("f2", "m")[2:] in (("number", "cast string>number"), ("string", "kept")) and at_("f4", "m")[3] in ("uncast string", "kept")
+    assert at_("f4", "op")[0] == "op" and at_("f4", "operation") == ("operation", "mean", "string", "collision")
+    assert at_("f5", "op", None) == (None, None, "string", "default") and at_("f5", "value")[1] == "3" and at_("f5", "note", 0, "file")[1] == "n" and at_("f5", "meta", 0, "file")[1] == "5"
     assert drift.consistent_records(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_casts():
+    number = drift._Number
+    assert drift.cast_value([{"v": number("2")}], "number") == ("2", ["array>object", "object>number"]) and drift.cast_value("1e3", "number")[1] == ["string>number"]
+    assert drift.cast_value(True, "string") == ("true", ["boolean>string"]) and drift.cast_value("true", "boolean") == (True, ["string>boolean"]) and drift.cast_value("x", "array") == (["x"], ["string>array"])
+    assert drift.cast_value("x", "number") is None and drift.cast_value([1, 2], "string") is None and drift.cast_value({"a": 1, "b": 2}, "array") is None and drift.cast_value([None], "string") is None
+
+
+def test_versions_of_a_path(spark):
+    one, two = doc([{"claim_id": "c", "a": 1}]), doc([{"claim_id": "c", "b": 1}])
+    rows = [("f1", "p", at(0), at(0), one, None), ("f2", "p", at(1), at(0), one, None), ("f3", "p", at(2), at(0), two, None), ("f3", "p", at(2), at(5), two, None), ("f4", "p", at(3), at(0), one, None), ("g", "q", at(0), at(0), None, None)]
+    got = {(r.path, r.version): (r.first_file, r.n_files, [tuple(s) for s in r.steps]) for r in drift.schema_versions(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {
+        ("p", 1): ("f1", 2, []), ("p", 2): ("f3", 1, [("renamed", "readouts.a", "readouts.b")]), ("p", 3): ("f4", 1, [("renamed", "readouts.b", "readouts.a")]), ("q", 1): ("g", 1, []),
+    }
+    assert drift.schema_versions(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_deliveries_that_differ(spark):
+    """The one written first counts, wherever it comes."""
+    rows = [("f1", "p", at(0), at(0), doc([{"claim_id": "c", "a": 1}]), None), ("f2", "p", at(2), at(0), doc([{"claim_id": "c", "b": 1}]), None), ("f2", "p", at(3), at(0), doc([{"claim_id": "c", "z": 9}]), None)]
+    for some in (rows, rows[::-1]):
+        assert {(r.file_id, r.field_after) for r in drift.file_changes(spark.createDataFrame(some, FILES)).collect()} == {("f2", "readouts.b")}
