@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Parents held as one sorted array, and references probed against it in one call.
 ROWS_PER_RANGE = 20_000
 ROWS_PER_BATCH = 50_000
+#: Parts of a range while its number of batches is looked up.
+SALTS = 64
 
 
 def _key(cols: list[Column]) -> Column:
@@ -82,9 +84,9 @@ def find_orphans(
     references are kept.  Either side may be empty.  Columns other than those named pass
     through; clashes with parents cannot arise, as no parent column is carried over.
 
-    Scale: one shuffle of the folded parents and one of the references, both by range.  A range
-    or key that holds most references is spread over batches of about ``rows_per_batch`` rows,
-    its parents (at most about ``rows_per_range``) being copied to each batch.
+    Scale: one shuffle of the folded parents and one of the references, both by range.  Equal references are counted before they are
+    shuffled (tables with maps are spread by row instead).  A range or key that holds most references is spread over batches of about
+    ``rows_per_batch`` rows, the sorted arrays of its parents (at most about ``rows_per_range``) being copied to each batch.
     """
     ranges = max(1, -(-parents.count() // rows_per_range))  # from the footers of Parquet files
     parent = (
@@ -103,33 +105,45 @@ def find_orphans(
         F.coalesce(_key([F.col(c) for c in key]), F.lit("")).alias("__k"),
         _micros(F.col(ref_time)).alias("__at"),
     ).withColumn("__range", _range(F.col("__h"), ranges))
-    per_range = ref.groupBy("__range").agg(F.ceil(F.count("*") / rows_per_batch).cast("int").alias("__batches"))
-    spread = F.pmod(F.xxhash64(*[F.col(c).cast("string") if t.startswith(("map", "variant")) else F.col(c) for c, t in refs.dtypes]), F.col("__batches").cast("bigint"))
-    ref = ref.join(per_range, "__range").withColumn("__batch", spread.cast("int")).drop("__batches")
-    parent = (
-        parent.join(per_range.withColumnRenamed("__range", "range_id"), "range_id")
-        .withColumn("__batch", F.explode(F.sequence(F.lit(0), F.col("__batches") - 1)))
-        .drop("__batches")
-    )
-    schema = refs.withColumn("status", F.lit("")).schema
+    # equal references have one answer: they are probed once and come back as often as they came
+    plain = not any(t.startswith(("map", "variant")) or "map<" in t for _, t in refs.dtypes)
+    if plain:
+        ref = ref.groupBy(*ref.columns).agg(F.count("*").alias("__times"))
+        spread = F.xxhash64(*[F.col(c) for c in refs.columns])
+    else:
+        ref, spread = ref.withColumn("__times", F.lit(1).cast("bigint")), F.xxhash64(F.monotonically_increasing_id())
+    ref = ref.withColumn("__spread", spread).withColumn("__salt", F.pmod(F.col("__spread"), F.lit(SALTS)).cast("int"))
+    batches = F.ceil(F.count("*") / rows_per_batch).cast("int")
+    per_range = ref.groupBy("__range").agg(batches.alias("__batches"))
+    # a range that holds most references is met by SALTS tasks here, and then by as many as it has batches
+    salted = per_range.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ref = ref.join(salted, ["__range", "__salt"]).withColumn("__batch", F.pmod(F.shiftright("__spread", 8), F.col("__batches").cast("bigint")).cast("int"))
+    ref = ref.drop("__batches", "__spread", "__salt")
+    # the parents of a range are one row of arrays in the order of their hash, copied to each batch of the range
+    held = F.array_sort(F.collect_list(F.struct("h", "k", "first_us", "gone")))
+    arrays = parent.groupBy("range_id").agg(held.alias("__p")).join(per_range.withColumnRenamed("__range", "range_id"), "range_id")
+    arrays = arrays.select("range_id", *[F.col(f"__p.{c}").alias(c) for c in ("h", "k", "first_us", "gone")], F.explode(F.sequence(F.lit(0), F.col("__batches") - 1)).alias("__batch"))
     names = refs.columns
+    out = refs.withColumn("status", F.lit("")).withColumn("__times", F.lit(1).cast("bigint"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["h", "k"], kind="stable")
-        at = probe(
-            right["h"].to_numpy(np.int64), right["k"].to_numpy(object), left["__h"].to_numpy(np.int64), left["__k"].to_numpy(object)
-        )
+        known = len(right) > 0
+        keys = np.asarray(right["h"].iloc[0] if known else [], dtype=np.int64)
+        texts = np.asarray(right["k"].iloc[0] if known else [], dtype=object)
+        at = probe(keys, texts, left["__h"].to_numpy(np.int64), left["__k"].to_numpy(object))
         status = np.full(len(left), None, dtype=object)
         status[at < 0] = "missing"
         found = np.flatnonzero(at >= 0)
-        gone = right["gone"].to_numpy(bool)[at[found]]
-        first = right["first_us"].to_numpy(float)[at[found]]
-        late = first > left["__at"].to_numpy(float)[found]  # a null is NaN and never greater
-        status[found] = np.where(gone, "deleted", np.where(late, "late", None))
-        out = left[names].assign(status=status)
-        return out[out["status"].notna()]
-
-    return ref.groupBy("__range", "__batch").cogroup(parent.groupBy("range_id", "__batch")).applyInPandas(run, schema)
+        if len(found):
+            gone = np.asarray(right["gone"].iloc[0], dtype=bool)[at[found]]
+            first = np.asarray(right["first_us"].iloc[0], dtype=float)[at[found]]
+            late = first > left["__at"].to_numpy(float)[found]  # a null is NaN and never greater
+            status[found] = np.where(gone, "deleted", np.where(late, "late", None))
+        answers = left[[*names, "__times"]].assign(status=status)
+        return answers.loc[answers["status"].notna(), [*names, "status", "__times"]]
+
+    probed = ref.groupBy("__range", "__batch").cogroup(arrays.groupBy("range_id", "__batch")).applyInPandas(run, out.schema)
+    return probed.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*names, "status")
 
 
 def _all_known(cols: list[Column]) -> Column:
