@@ -99,20 +99,18 @@ def find_orphans(
     clash = [c for c in refs.columns if c.startswith("__") or c.lower() == "status"]
     if clash:
         raise ValueError(f"columns reserved by this operator: {clash}")
-    ref = refs.select(
+    # equal references have one answer: they are probed once and come back as often as they came
+    if any("map<" in t or "variant" in t for _, t in refs.dtypes):
+        counted, spread = refs.withColumn("__times", F.lit(1).cast("bigint")), F.xxhash64(F.monotonically_increasing_id())
+    else:
+        counted, spread = refs.groupBy(*refs.columns).agg(F.count("*").alias("__times")), F.xxhash64(*[F.col(c) for c in refs.columns])
+    ref = counted.select(
         "*",
         F.coalesce(F.xxhash64(*key), F.lit(0)).alias("__h"),
         F.coalesce(_key([F.col(c) for c in key]), F.lit("")).alias("__k"),
         _micros(F.col(ref_time)).alias("__at"),
-    ).withColumn("__range", _range(F.col("__h"), ranges))
-    # equal references have one answer: they are probed once and come back as often as they came
-    plain = not any(t.startswith(("map", "variant")) or "map<" in t for _, t in refs.dtypes)
-    if plain:
-        ref = ref.groupBy(*ref.columns).agg(F.count("*").alias("__times"))
-        spread = F.xxhash64(*[F.col(c) for c in refs.columns])
-    else:
-        ref, spread = ref.withColumn("__times", F.lit(1).cast("bigint")), F.xxhash64(F.monotonically_increasing_id())
-    ref = ref.withColumn("__spread", spread).withColumn("__salt", F.pmod(F.col("__spread"), F.lit(SALTS)).cast("int"))
+        spread.alias("__spread"),
+    ).withColumns({"__range": _range(F.col("__h"), ranges), "__salt": F.pmod(F.col("__spread"), F.lit(SALTS)).cast("int")})
     batches = F.ceil(F.count("*") / rows_per_batch).cast("int")
     per_range = ref.groupBy("__range").agg(batches.alias("__batches"))
     # a range that holds most references is met by SALTS tasks here, and then by as many as it has batches
