@@ -56,13 +56,11 @@ def _forms(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"visible": visible, "folded": visible.map(folded_form, na_action="ignore")})
 
 
-def distinct_forms(texts: DataFrame, text: str) -> DataFrame:
-    """``text``, visible, folded: one row for each distinct text that is not null.
-
-    Long and empty texts are kept whole; copies are folded before the forms are computed.
-    """
-    forms = F.pandas_udf(_forms, "visible string, folded string")
-    return texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("__f", forms(F.col(text))).select(text, "__f.visible", "__f.folded")
+def _per_distinct(texts: pd.Series) -> pd.DataFrame:
+    """The forms of a batch, once for each distinct text."""
+    codes, values = pd.factorize(texts)
+    forms = _forms(pd.Series(values, dtype=object)).reindex(codes).reset_index(drop=True)
+    return forms.where(forms.notna(), None)
 
 
 def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,12 +74,7 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
         if {f"{c}_visible".lower(), f"{c}_folded".lower()} & taken:
             raise ValueError(f"{c}_visible or {c}_folded is taken")
 
-    def per_distinct(texts: pd.Series) -> pd.DataFrame:
-        codes, values = pd.factorize(texts)
-        forms = _forms(pd.Series(values, dtype=object)).reindex(codes).reset_index(drop=True)
-        return forms.where(forms.notna(), None)
-
-    forms = F.pandas_udf(per_distinct, "visible string, folded string")
+    forms = F.pandas_udf(_per_distinct, "visible string, folded string")
     for c in columns:
         df = df.withColumn("__f", forms(F.col(c).cast("string"))).withColumns({f"{c}_visible": F.col("__f.visible"), f"{c}_folded": F.col("__f.folded")}).drop("__f")
     return df
@@ -94,18 +87,18 @@ def same_look(left: DataFrame, right: DataFrame, *, within: str, left_text: str,
     folded form and are then compared exactly on the visible form, for case shows.  Null texts and
     null ``within`` never pair; blank texts look the same as other blank texts.  Repeated rows pair repeatedly.
 
-    Scale: forms once for each distinct text; an equi-join on (within, folded form), which spreads a large
-    ``within`` by its texts.
+    Scale: forms in place, once for each distinct text of a batch; one equi-join on (within, hash of the folded form), which spreads a
+    large ``within`` by its texts.  Texts are compared by 256-bit digests, so that only columns that are asked for are shuffled.
     """
     clash = (set(left.columns) & set(right.columns)) - {within}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    lf = distinct_forms(left, left_text).select(F.col(left_text), F.col("visible").alias("__lv"), F.col("folded").alias("__fold"))
-    rf = distinct_forms(right, right_text).select(F.col(right_text), F.col("visible").alias("__rv"), F.col("folded").alias("__fold"))
-    a = left.join(lf, left_text)
-    b = right.join(rf, right_text)
-    return (
-        a.join(b, [within, "__fold"])
-        .where((F.col("__lv") == F.col("__rv")) & (F.col(left_text) != F.col(right_text)))
-        .drop("__fold", "__lv", "__rv")
-    )
+    forms = F.pandas_udf(_per_distinct, "visible string, folded string")
+    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
+
+    def side(df: DataFrame, text: str, name: str) -> DataFrame:
+        known = df.where(F.col(text).isNotNull() & F.col(within).isNotNull()).withColumn("__f", forms(F.col(text).cast("string")))
+        return known.select(*df.columns, F.xxhash64("__f.folded").alias("__fold"), digest("__f.visible").alias(f"__{name}v"), digest(text).alias(f"__{name}t"))
+
+    pairs = side(left, left_text, "l").join(side(right, right_text, "r"), [within, "__fold"])
+    return pairs.where((F.col("__lv") == F.col("__rv")) & (F.col("__lt") != F.col("__rt"))).drop("__fold", "__lv", "__rv", "__lt", "__rt")
