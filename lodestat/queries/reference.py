@@ -496,7 +496,9 @@ def formulations_agree(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.compare_results(one, two, ["l_suppkey"], ["mean_diff"], 1e-4, 1e-6).select("l_suppkey", "problem")
 
 
-@query()
+@query("""SELECT l_suppkey, list_filter([CASE WHEN NOT coalesce(isfinite(m), false) THEN 'estimate' END, CASE WHEN NOT coalesce(se >= 0 AND isfinite(se), false) THEN 'se' END,
+  CASE WHEN n < 2 OR se = 0 THEN 'p' END, CASE WHEN n < 2 THEN 'n' END], lambda x: x IS NOT NULL) AS problems
+FROM (SELECT l_suppkey, avg(l_discount - l_tax) AS m, stddev_samp(l_discount - l_tax) / sqrt(count(*)) AS se, count(*) AS n FROM lineitem GROUP BY 1)""")
 def result_contract(spark: SparkSession, sf: str) -> DataFrame:
     t = tstats.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax", ["l_suppkey"]).withColumnRenamed("mean_diff", "estimate")
     return integrity.result_contract(t).select("l_suppkey", "problems")
@@ -793,7 +795,11 @@ def fixed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return sequence.fixed_batches(e, ["user_id"], ["ts", "event_id"], 10).select("event_id", "user_id", "batch")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT user_id, rn, event_id, value AS used, 0::BIGINT AS batch FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN g.used + e.value > 250 THEN e.value ELSE g.used + e.value END, CASE WHEN g.used + e.value > 250 THEN g.batch + 1 ELSE g.batch END
+  FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1)
+SELECT event_id, user_id, batch FROM g""")
 def greedy_batches(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     return sequence.greedy_batches(e, ["user_id"], ["ts", "event_id"], "value", 250.0).select("event_id", "user_id", "batch")
@@ -886,7 +892,10 @@ def parse_reported(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("claim_uid", T.parse_reported(shown).alias("r")).select("claim_uid", "r.comparator", "r.value")
 
 
-@query()
+@query(r"""SELECT claim_uid, CASE WHEN len(d) = 1 THEN regexp_replace(d[1], '\s+', '', 'g') END AS df,
+  regexp_replace(regexp_replace(source_quote, '[0-9]+(?:[.][0-9]+)?', '[quantity]', 'g'), '(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand)\b', '[quantity]', 'g') AS masked,
+  list_sort(list_distinct(list_transform(regexp_extract_all(lower(source_quote), '([0-9]+\s*[x×]\s*[0-9]+|[0-9]+(?:[.][0-9]+)?\s*(?:db|hz|ms|kg|cm)\b|(?:study|experiment)\s+[0-9]+)', 1), lambda x: regexp_replace(x, '\s+', ' ', 'g')))) AS markers
+FROM (SELECT DISTINCT claim_uid, source_quote, list_distinct(regexp_extract_all(source_quote, '\b(?:t|r|F|χ2|χ²)\s?\(\s*([0-9.]+(?:\s*,\s*[0-9.]+)?)\s*\)', 1)) AS d FROM claims)""")
 def printed_df(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "claims").select("claim_uid", "source_quote").distinct().select("claim_uid", T.printed_df(F.col("source_quote")).alias("df"), T.mask_numbers(F.col("source_quote")).alias("masked"), T.design_markers(F.col("source_quote")).alias("markers"))
 
@@ -930,7 +939,8 @@ def digests(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", F.sha2("c_name", 256).alias("sha"), is_close(F.col("c_acctbal"), F.lit(0.0), 0.0, 1000.0).alias("small"), F.coalesce(blank_to_null(F.col("c_mktsegment")), F.lit("none")).alias("segment"))
 
 
-@query()
+@query("""SELECT DISTINCT claim_uid, left(sha256(to_json([paper_id, claim_id])::VARCHAR), 24) AS occurrence, ('0x' || left(sha256(claim_id), 15))::BIGINT AS seed,
+  (epoch(TIMESTAMP '2026-01-01') - floor(epoch(loaded_at)))::BIGINT AS age FROM claims""")
 def identities(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "claims").select("claim_uid", "paper_id", "claim_id", "loaded_at").distinct()
     return c.select("claim_uid", digest(F.col("paper_id"), F.col("claim_id"), length=24).alias("occurrence"), seed_of(F.col("claim_id")).alias("seed"), age_seconds(F.col("loaded_at").cast("timestamp"), F.lit("2026-01-01").cast("timestamp")).alias("age"))

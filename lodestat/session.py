@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where that setting is missing, as in tests.
+    A folder of our own is set only where that setting is missing and one machine does all the work, as in tests; elsewhere
+    executors could not read it, so the setting is demanded.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestat-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
