@@ -997,7 +997,7 @@ SELECT user_id, min(ts) AS cool_from, max(ts) + INTERVAL 900 SECOND AS cool_unti
 def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).withColumn("failed", F.col("value") > 90)
     # complete: sessions still open at the end count; their state, one row for each session, is kept on disk
-    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed"), "complete", True)
+    return _finish(ledger.cooling_windows(e, "ts", "user_id", "failed", late=None), "complete", True)
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
