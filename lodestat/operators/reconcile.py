@@ -154,10 +154,67 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: flo
         out = best if out is None else out.unionByName(best)
         if i % 50 == 0:
             out = cut(out)
-        rest = cut(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
+        for side in (left, right):  # a null key is a key as well; taken out by = it would be found again and again
+            rest = rest.join(best.select(F.col(side).alias("__k")), F.col(side).eqNullSafe(F.col("__k")), "left_anti")
+        rest = cut(rest)
     return out if out is not None else rest.where("false").withColumn("round", F.lit(0))
 
 
+def mutual_nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, block: tuple[str, str], value: tuple[str, str], margin: float = 0.05, rounds: int | None = None) -> DataFrame:
+    """``mutual_best`` of all pairs of rows of one block, scored by minus the distance of their values, without forming the pairs.
+
+    ``block`` and ``value`` name the columns of either side.  In the order of a block's values a row's best two partners are among its next
+    two of the other side on either hand, and rows that are each other's best are neighbours.  Rows of a side and block that share a value are
+    folded first: they tie for everyone, so none of them is ever taken, but they stand in the way of others.  Null blocks and values pair with nothing.
+
+    Repeated keys with different values, and values that are not finite, take the pairs themselves.
+
+    Scale: one row for each side, block and value; a round is one shuffle of them by block and is streamed in order.
+    """
+    if margin <= 0:
+        raise ValueError("a lead needs a margin above zero")
+    known = [df.select(F.col(k).alias("k"), F.col(b).alias("__b"), F.col(v).cast("double").alias("__x")).where("__b IS NOT NULL AND __x IS NOT NULL") for df, k, b, v in zip((left, right), (left_key, right_key), block, value)]
+    wild = F.isnan("__x") | (F.abs("__x") == float("inf"))
+    odd = [df.distinct().groupBy("k").agg(F.count("*").alias("n"), F.bool_or(wild).alias("wild")).where("n > 1 OR wild").select(F.lit(1)) for df in known]
+    if odd[0].unionAll(odd[1]).limit(1).count():
+        a, b = known[0].withColumnsRenamed({"k": left_key, "__x": "__l"}), known[1].withColumnsRenamed({"k": right_key, "__x": "__r"})
+        return mutual_best(a.join(b, "__b").select(left_key, right_key, (-F.abs(F.col("__l") - F.col("__r"))).alias("score")), left_key, right_key, "score", margin, rounds)
+    none = [F.lit(None).cast(df.schema["k"].dataType) for df in known]
+    folded = [df.groupBy("__b", "__x").agg(F.min("k").alias("k"), (F.count("*") == 1).alias("__one")) for df in known]
+    rest = folded[0].select("__b", "__x", F.lit(0).alias("__side"), F.col("k").alias("__l"), none[1].alias("__r"), "__one").unionAll(
+        folded[1].select("__b", "__x", F.lit(1).alias("__side"), none[0].alias("__l"), F.col("k").alias("__r"), "__one")
+    )
+    up, down = Window.partitionBy("__b").orderBy("__x", "__side"), Window.partitionBy("__b").orderBy(F.desc("__x"), F.desc("__side"))
+    seen = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda side: F.when(F.col("__side") == side, F.col("__x"))
+    apart = lambda x, y: -F.abs(x - y)
+    out = None
+    for i in range(1, rounds + 1) if rounds else count(1):  # each round takes a pair out, so there is a last one
+        around = rest.select(
+            "*", *[F.min(of(s)).over(seen(down)).alias(f"__after{s}") for s in (0, 1)], *[F.max(of(s)).over(seen(up)).alias(f"__before{s}") for s in (0, 1)],
+        ).withColumn("v", F.lead(F.struct("__x", "__side", "__l", "__r", "__one", "__after0", "__after1")).over(up))
+        first = F.col("__side") == 0
+        x = F.when(first, F.col("__x")).otherwise(F.col("v.__x")), F.when(first, F.col("v.__x")).otherwise(F.col("__x"))
+        score, least = apart(*x), F.lit(float("-inf"))
+        leads = F.lit(True)
+        for s in (0, 1):
+            others = F.greatest(apart(x[s], F.col(f"__before{1 - s}")), apart(x[s], F.col(f"v.__after{1 - s}")))
+            leads = leads & (score - F.coalesce(others, least) >= margin)
+        pair = F.coalesce((F.col("__side") != F.col("v.__side")) & F.col("__one") & F.col("v.__one") & leads, F.lit(False))
+        marked = around.withColumn("__pair", pair).select(
+            "__b", "__x", "__side", "__l", "__r", "__one", "__pair", F.lag("__pair", 1, False).over(up).alias("__taken"),
+            *[F.when(F.col("__pair"), e).alias(n) for n, e in ((left_key, F.coalesce("__l", "v.__l")), (right_key, F.coalesce("__r", "v.__r")), ("score", score))],
+        )
+        if i != rounds:
+            marked = cut(marked)
+        best = marked.where("__pair").select(left_key, right_key, "score", F.lit(i).alias("round"))
+        if i != rounds and not best.limit(1).count():
+            break
+        out = best if out is None else out.unionByName(best)
+        rest = marked.where("NOT __pair AND NOT __taken").select(*rest.columns)
+    return out if out is not None else best
+
+
 def partition_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key: str, right_key: str, agree: Column) -> DataFrame:
     """left_key, right_key, part: ``agreed``, ``conflict``, ``only_left`` or ``only_right``; ``agree`` is over the joined rows."""
     j = pairs.select(left_key, right_key).join(left, left_key).join(right, right_key)
