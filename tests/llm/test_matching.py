@@ -140,3 +140,10 @@ def test_similarities_are_dice_coefficients(spark):
     want = (1.0 * 1 + 1.2 * M.dice(whole(own), whole(other))) / 2.2
     assert got.identity == pytest.approx(want) and got.coverage == pytest.approx(0.5) and got.page_near == 0.5 and 0 < got.value_near < 1 and got.off == pytest.approx(0.4)
     assert got.pattern == ("q11" if want >= M.AGREES else "x11")
+
+
+def test_no_text_is_shuffled(spark):
+    claims, _, _ = lists()
+    read = M.read_attributes(spark.createDataFrame(claims, CLAIM), "claim_uid", M.vocabulary(sorted(MAPPINGS)), F.col("study_id"))
+    above, below = read._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython", 1)
+    assert "Exchange" in above and "Exchange" not in below and read.count() == len(claims)
