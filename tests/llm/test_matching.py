@@ -147,3 +147,29 @@ def test_no_text_is_shuffled(spark):
     read = M.read_attributes(spark.createDataFrame(claims, CLAIM), "claim_uid", M.vocabulary(sorted(MAPPINGS)), F.col("study_id"))
     above, below = read._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython", 1)
     assert "Exchange" in above and "Exchange" not in below and read.count() == len(claims)
+
+
+@pytest.mark.parametrize("dense", [0, 10**6])
+def test_view_pairs_are_those_within_the_radius(spark, monkeypatch, dense):
+    """By comparing each pair or by hashing; a pair that differs in one digit of study or page is near."""
+    monkeypatch.setattr(M, "DENSE", dense)
+    rng, table = random.Random(9), M.FieldBits()
+    some = {"study": "12", "outcome": ["recall accuracy", "hunger rating"], "contrast": ["women vs men"], "grp": ["women", "-"], "printed": ["4.99", "4.9", "0.034"], "page": ["3", "4", "11"]}
+    whole = lambda f, text: sum((c & (1 << 64) - 1) << 64 * i for i, c in enumerate(table[M.FIELDS.index(f), text]))
+
+    def make(first, n):
+        texts = [{f: rng.choice([None, *some[f]]) for f in M.FIELDS} for _ in range(n)]
+        rows = [(first + k, rng.choice("pq"), "t", *[c for f in M.FIELDS for c in (table[M.FIELDS.index(f), t[f]] if t[f] else [None] * M.CHUNKS)], 1.0) for k, t in enumerate(texts)]
+        return texts, rows
+
+    (lt, left), (rt, right) = make(0, 30), make(100, 40)
+    schema = "{0} bigint, paper_id string, kind string, " + ", ".join(f"{c} bigint" for c in M.CHUNK_COLUMNS) + ", x double"
+    got = M.view_pairs(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")), "l", "r", ["paper_id", "kind"], ["x"]).collect()
+
+    def near(a, b, radius):
+        known = [(f, g) for f, g in M.VIEWS if None not in (a[f], a[g], b[f], b[g])]
+        return any(((whole(f, a[f]) | whole(g, a[g])) ^ (whole(f, b[f]) | whole(g, b[g]))).bit_count() <= radius for f, g in known)
+
+    want = {(i, 100 + j) for i, a in enumerate(lt) for j, b in enumerate(rt) if left[i][1] == right[j][1] and near(a, b, M.RADIUS)}
+    assert {(r.l, r.r) for r in got} == want and len(got) == len(want)
+    assert len(want) > sum(left[i][1] == right[j][1] and near(a, b, 0) for i, a in enumerate(lt) for j, b in enumerate(rt))
