@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.distributions import norm_cdf_np, norm_ppf_np, t_ppf, t_two_sided_np
@@ -24,6 +25,8 @@ from lodestat.plans.recipe import Recipe
 MAX_SAMPLE = 100_000
 #: Cells of one block of draws.
 BLOCK_CELLS = 2_000_000
+#: Draws of up to so many cells are kept for the next sample of the size, as samples of a size share their stream.
+KEPT_CELLS = 8_000_000
 
 
 def midranks(v: np.ndarray) -> np.ndarray:
@@ -249,21 +252,21 @@ def _paired(r: Recipe, s: dict[str, np.ndarray], n: int) -> dict:
     else:
         se = df = None
     out |= {"estimate": theta, "se": se, "df": df}
-    rng = np.random.default_rng(r.seed)
+    drawn = lambda i: np.asarray(statistic(x[i], y[i]) if r.estimator == "yuen" else statistic(d[i], 0.0)).ravel()
     if r.test in ("t", "yuen"):
         both = t_two_sided_np(theta / se, df)
         out["p_raw"] = both if r.alternative == "two-sided" else both / 2 if (theta > 0) == (r.alternative == "greater") else 1 - both / 2
     elif r.test == "wilcoxon":
         out["p_raw"] = signed_rank_p(d)
     elif r.test == "centred_bootstrap":
-        out["p_raw"] = centred_bootstrap_p(np.concatenate([np.asarray(statistic(x[i], y[i])).ravel() for i in rng_blocks(r, n, r.null_draws)]), theta, r.alternative)
+        out["p_raw"] = centred_bootstrap_p(np.concatenate([drawn(i) for i in rng_blocks(r, n, r.null_draws)]), theta, r.alternative)
     else:
-        out["p_raw"] = sign_flip_p(d, r, rng)
+        out["p_raw"] = sign_flip_p(d, r)
     if r.interval in ("student_t", "yuen"):
         reach = t_ppf(0.975, df) * se
         out |= _ends(theta - reach, theta + reach)
     elif r.interval in ("percentile", "bca"):
-        boot = np.concatenate([np.asarray(statistic(x[i], y[i])).ravel() for i in rng_blocks(r, n)])
+        boot = np.concatenate([drawn(i) for i in rng_blocks(r, n)])
         if r.interval == "percentile":
             out |= _ends(*np.quantile(boot, [0.025, 0.975]))
         else:
@@ -274,11 +277,32 @@ def _paired(r: Recipe, s: dict[str, np.ndarray], n: int) -> dict:
 
 def rng_blocks(r: Recipe, n: int, draws: int | None = None) -> Iterator[np.ndarray]:
     """Row indices of the bootstrap draws, in blocks of one stream; its seed may add the sample's size, so that samples of a size share their draws."""
-    rng = np.random.default_rng(r.seed + (n if r.seed_by_size else 0))
-    for size in _blocks(draws or r.bootstrap_draws, n):
+    seed, draws = r.seed + (n if r.seed_by_size else 0), draws or r.bootstrap_draws
+    if draws * n <= KEPT_CELLS:
+        yield from _slices(_kept("index", seed, n, draws))
+        return
+    rng = np.random.default_rng(seed)
+    for size in _blocks(draws, n):
         yield rng.integers(0, n, (size, n))
 
 
+@lru_cache(maxsize=8)
+def _kept(what: str, seed: int, n: int, draws: int) -> np.ndarray:
+    """All draws of a stream for samples of n rows: row indices, signs as 0 and 1, or permutations of the rows, one a draw."""
+    rng = np.random.default_rng(seed)
+    kind = np.int16 if n < 2**15 else np.int32
+    if what == "permutation":
+        return rng.permuted(np.tile(np.arange(n, dtype=kind), (draws, 1)), axis=1)
+    return np.concatenate([rng.integers(0, 2 if what == "sign" else n, (size, n)).astype(np.int8 if what == "sign" else kind) for size in _blocks(draws, n)])
+
+
+def _slices(kept: np.ndarray) -> Iterator[np.ndarray]:
+    at = 0
+    for size in _blocks(*kept.shape):
+        yield kept[at : at + size]
+        at += size
+
+
 def centred_bootstrap_p(boot: np.ndarray, theta: float, alternative: str) -> float:
     """The p of an estimate under resampled estimates moved to a null of zero, as (k + 1) / (B + 1)."""
     null = boot - theta
@@ -286,7 +310,7 @@ def centred_bootstrap_p(boot: np.ndarray, theta: float, alternative: str) -> flo
     return (int(k) + 1) / (len(boot) + 1)
 
 
-def sign_flip_p(d: np.ndarray, r: Recipe, rng: np.random.Generator) -> float:
+def sign_flip_p(d: np.ndarray, r: Recipe, rng: np.random.Generator | None = None) -> float:
     """The sign-flip p: all 2 ** n signs for n up to 16, else seeded draws with (k + 1) / (B + 1)."""
     n, effect = len(d), d.mean()
     hit = {
@@ -296,9 +320,13 @@ def sign_flip_p(d: np.ndarray, r: Recipe, rng: np.random.Generator) -> float:
         signs = 1 - 2 * ((np.arange(2**n)[:, None] >> np.arange(n)) & 1)
         return float(hit(signs @ d / n).mean())
     k = 0
-    for size in _blocks(r.null_draws, n):
-        signs = 2 * rng.integers(0, 2, (size, n)) - 1
-        k += int(hit(signs @ d / n).sum())
+    if rng is None and r.null_draws * n <= KEPT_CELLS:
+        bits = _slices(_kept("sign", r.seed, n, r.null_draws))
+    else:
+        rng = rng or np.random.default_rng(r.seed)
+        bits = (rng.integers(0, 2, (size, n)) for size in _blocks(r.null_draws, n))
+    for some in bits:
+        k += int(hit((2.0 * some - 1) @ d / n).sum())
     return (k + 1) / (r.null_draws + 1)
 
 
@@ -326,19 +354,30 @@ def _permutation_p(r: Recipe, a: Association, s: dict[str, np.ndarray], effect:
     x = midranks(s[r.x]) if r.rank else s[r.x].astype(float)
     moved, fixed = (ey, ex) if r.permute == "outcome" else (ex, ey if r.estimator == "partial" else y)
     fitted = (y if r.permute == "outcome" else x) - moved
-    rng = np.random.default_rng(r.seed)
     want = abs(t) if r.permutation_statistic == "t" else abs(effect)
     centred = fixed - fixed.mean()
     scale = math.sqrt(float(centred @ centred))
+    n, lane = len(moved), r.test == "freedman_lane"
+    projected = lane and (r.permute == "predictor" or r.estimator == "partial" or r.permutation_statistic == "t")
+    if r.null_draws * n <= KEPT_CELLS:
+        orders = _slices(_kept("permutation", r.seed, n, r.null_draws))
+    else:
+        rng = np.random.default_rng(r.seed)
+        orders = (rng.permuted(np.tile(np.arange(n), (size, 1)), axis=1) for size in _blocks(r.null_draws, n))
+    squares, against = float(moved @ moved), np.column_stack([centred, q])
     k = 0
-    for size in _blocks(r.null_draws, len(moved)):
-        new = np.array([rng.permutation(moved) for _ in range(size)])  # one permutation a draw, whatever the block
-        if r.test == "freedman_lane":
+    for order in orders:  # one permutation a draw, whatever the block
+        new = moved[order]
+        if lane and not projected:
             new += fitted
-            if r.permute == "predictor" or r.estimator == "partial" or r.permutation_statistic == "t":
-                new -= (new @ q) @ q.T
-        new -= new.mean(1, keepdims=True)
-        c = new @ centred / (np.sqrt((new * new).sum(1)) * scale)
+            new -= new.mean(1, keepdims=True)
+            top, square = new @ centred, (new * new).sum(1)
+        elif lane:  # what was fitted lies in the span of q, which holds the constant, and falls out with it
+            z = new @ against
+            top, square = z[:, 0] - z[:, 1:] @ (q.T @ centred), squares - (z[:, 1:] ** 2).sum(1)
+        else:  # a permutation keeps the sum and the squares
+            top, square = new @ centred, squares - float(moved.sum()) ** 2 / n
+        c = top / (np.sqrt(square) * scale)
         value = np.abs(c) * np.sqrt(df / np.maximum(1 - c * c, 1e-300)) if r.permutation_statistic == "t" else np.abs(c)
         k += int((value >= want - 1e-12).sum())
     return (k + 1) / (r.null_draws + 1)
@@ -354,7 +393,8 @@ def run_recipes(df: DataFrame, recipes: dict[str, Recipe], identity: str, by: li
     ``problem`` says why a recipe could not be evaluated; such a row has nulls.  A group above MAX_SAMPLE rows is an
     error: such tables take the aggregate forms.  Null or repeated identities are an error.  Empty tables give no rows.
 
-    Scale: each row is shuffled once, whatever the number of recipes; a sample is a task that evaluates all of them.
+    Scale: each row is shuffled once, whatever the number of recipes; a sample is a task that evaluates all of them.  Draws
+    are made once for each size of sample in a task (KEPT_CELLS).
     """
     by = by or []
     columns = sorted({c for r in recipes.values() for c in (r.x, r.y, *r.covariates, *([r.polynomial] if r.polynomial else []))})
@@ -367,6 +407,9 @@ def run_recipes(df: DataFrame, recipes: dict[str, Recipe], identity: str, by: li
     if sizes:
         raise ValueError(f"a sample has more than {MAX_SAMPLE} rows")
     rows = df.select(*by, F.col(identity).alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns])
+    if by:  # a task takes samples of a size one after the other, which share their draws
+        whole = F.count_if(F.greatest(*[F.isnull(c) | F.isnan(c) for c in [*columns, columns[0]]]) == F.lit(False))
+        rows = rows.withColumn("__n", whole.over(Window.partitionBy(*by)))
     listed = sorted(recipes.items())
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -386,7 +429,7 @@ def run_recipes(df: DataFrame, recipes: dict[str, Recipe], identity: str, by: li
         return pd.DataFrame(out)[[*by, "spec_id", *_NAMES]]
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "spec_id string", RESULT])
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    return rows.groupBy(*["__n"] * bool(by), *by).applyInPandas(run, schema)
 
 
 #: The engine's seed, to which a sample's size is added, and its draws.
