@@ -145,6 +145,8 @@ def norm_ppf_np(p: float) -> float:
     lo, hi = 0.0, 40.0
     for _ in range(200):
         mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
         lo, hi = (mid, hi) if math.erfc(mid / math.sqrt(2)) / 2 > 1 - p else (lo, mid)
     return (lo + hi) / 2
 

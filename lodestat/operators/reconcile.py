@@ -241,7 +241,10 @@ def band_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def keep_last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``; partial aggregation, so a hot key needs no sort."""
+    """The last row of each key by ``order``; partial aggregation, so a hot key needs no sort.  Rows of key and order alone are moved once."""
+    if set(rows.columns) <= {*key, *order}:
+        last = rows.groupBy(*key).agg(F.max(F.struct(*order)).alias("__r"))
+        return last.select(*[c if c in key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("__r"))
     return last.select("__r.*")
 
